@@ -46,7 +46,6 @@ def semantic_type(extension: Column | str, is_directory: Column | str) -> Column
 def bulkiness(logical: Column | str, allocated: Column | str) -> Column:
     """allocated x 10^6 / logical in whole numbers; 0 when logical is 0."""
     logical, allocated = _col(logical), _col(allocated)
-    narrow = F.floor(allocated * BULKINESS_SCALE / logical)  # replaced below by exact division
     narrow = F.call_function("div", allocated * F.lit(BULKINESS_SCALE), logical)
     wide = F.call_function(
         "div", allocated.cast("decimal(20,0)") * F.lit(BULKINESS_SCALE).cast("decimal(10,0)"),

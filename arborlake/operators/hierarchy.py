@@ -73,7 +73,7 @@ def _root_path(drive: Column) -> Column:
 
 
 def directory_table(df: DataFrame) -> DataFrame:
-    """(drive, frs, parent_frs, path, chain, depth, state, bad_name) per directory.
+    """(drive, frs, parent_frs, path, chain, depth, state, top, bad_name) per directory.
 
     Pointer doubling: each round joins every unfinished directory to the
     directory its pointer names and appends that one's chain, so a chain of
@@ -81,53 +81,100 @@ def directory_table(df: DataFrame) -> DataFrame:
     re-enters its own chain is a cycle and ends there; one without a row is
     broken.  Rounds are written to the shared folder, which cuts the lineage.
     """
-    bad = (derive.is_malformed("name_bytes") if "name_bytes" in df.columns else F.lit(False))
-    dirs = df.filter("is_directory").select(
-        "drive", "frs", "parent_frs", F.coalesce("name", F.lit("")).alias("name"), bad.alias("bad_name"))
+    return _finished(_resolve(materialize(_start(df.filter("is_directory")), "dirs")))
+
+
+def _start(dirs: DataFrame) -> DataFrame:
+    """Unresolved state: every directory points at its parent."""
+    bad = (derive.is_malformed("name_bytes") if "name_bytes" in dirs.columns else F.lit(False))
     at_root = _is_root(F.col("frs"))
-    state = dirs.select(
+    none = F.array().cast("array<bigint>")
+    return dirs.select(
         "drive", "frs", "parent_frs",
-        F.when(at_root, F.lit(ROOT_FRS).cast("bigint")).otherwise(F.col("parent_frs")).alias("anc"),
-        F.when(at_root, F.array().cast("array<bigint>")).otherwise(F.array("frs")).alias("ids"),
-        F.when(at_root, F.lit("")).otherwise(F.col("name")).alias("rel"),
+        F.when(at_root, F.lit(ROOT_FRS).cast("bigint")).otherwise(F.col("parent_frs")).alias("top"),
+        F.when(at_root, none).otherwise(F.array("frs")).alias("ids"),
+        F.when(at_root, F.lit("")).otherwise(F.coalesce("name", F.lit(""))).alias("rel"),
         F.when(at_root | _is_root(F.col("parent_frs")), F.lit(OK))
         .when(F.col("parent_frs") == F.col("frs"), F.lit(CYCLIC))
         .otherwise(F.lit(OPEN)).alias("state"),
-        "bad_name")
-    state = materialize(state, "dirs")
-    while not state.filter(F.col("state") == OPEN).isEmpty():
-        state = materialize(_double(state), "dirs")
-    return _finished(state)
+        bad.alias("bad_name"))
+
+
+def _resolve(working: DataFrame, settled: DataFrame | None = None) -> DataFrame:
+    """Double pointers until no row of ``working`` is open; ``settled`` rows help only."""
+    still_open = F.col("state") == OPEN
+    while not working.filter(still_open).isEmpty():
+        lookup = working if settled is None else working.unionByName(settled)
+        stepped = _double(working.filter(still_open), lookup)
+        working = materialize(working.filter(~still_open).unionByName(stepped), "dirs")
+    return working
 
 
-def _double(state: DataFrame) -> DataFrame:
-    open_rows = state.filter(F.col("state") == OPEN)
-    upper = state.select(
-        "drive", F.col("frs").alias("anc"), F.col("anc").alias("anc2"), F.col("ids").alias("ids2"),
+def _double(open_rows: DataFrame, lookup: DataFrame) -> DataFrame:
+    upper = lookup.select(
+        "drive", F.col("frs").alias("top"), F.col("top").alias("top2"), F.col("ids").alias("ids2"),
         F.col("rel").alias("rel2"), F.col("state").alias("state2"), F.col("bad_name").alias("bad2"))
-    joined = open_rows.join(upper, ["drive", "anc"], "left")
-    missing = F.col("anc2").isNull()
+    joined = open_rows.join(upper, ["drive", "top"], "left")
+    missing = F.col("top2").isNull()
     chain = F.when(missing, F.col("ids")).otherwise(F.concat("ids2", "ids"))
-    anc = F.when(missing, F.col("anc")).otherwise(F.col("anc2"))
+    top = F.when(missing, F.col("top")).otherwise(F.col("top2"))
     outcome = (F.when(missing, F.lit(BROKEN))
                .when(F.col("state2") != OPEN, F.col("state2"))
-               .when(F.array_contains(chain, anc), F.lit(CYCLIC))
+               .when(F.array_contains(chain, top), F.lit(CYCLIC))
                .otherwise(F.lit(OPEN)))
-    stepped = joined.select(
-        "drive", "frs", "parent_frs", anc.alias("anc"), chain.alias("ids"),
+    return joined.select(
+        "drive", "frs", "parent_frs", top.alias("top"), chain.alias("ids"),
         F.when(missing, F.col("rel")).otherwise(_joined(F.col("rel2"), F.col("rel"))).alias("rel"),
         outcome.alias("state"),
         (F.col("bad_name") | F.coalesce("bad2", F.lit(False))).alias("bad_name"))
-    return state.filter(F.col("state") != OPEN).unionByName(stepped)
 
 
 def _finished(state: DataFrame) -> DataFrame:
     good = F.col("state") == OK
     chain = F.when(good, F.concat(F.array(F.lit(ROOT_FRS).cast("bigint")), "ids")).otherwise(F.col("ids"))
     path = F.when(good, F.concat(_root_path(F.col("drive")), "rel")).otherwise(
-        F.concat(F.lit("<unknown:"), F.col("anc").cast("string"), F.lit(">\\"), F.col("rel")))
+        F.concat(F.lit("<unknown:"), F.col("top").cast("string"), F.lit(">\\"), F.col("rel")))
     return state.select("drive", "frs", "parent_frs", path.alias("path"), chain.alias("chain"),
-                        F.size(chain).alias("depth"), "state", "bad_name")
+                        F.size(chain).alias("depth"), "state", "top", "bad_name")
+
+
+def _reopened(table: DataFrame) -> DataFrame:
+    """Finished rows back in the form the doubling works on."""
+    good = F.col("state") == OK
+    rel = F.when(good, F.substring("path", 4, 1 << 30)).otherwise(
+        F.substring(F.col("path"), F.instr("path", ">\\") + 2, F.lit(1 << 30)))
+    ids = F.when(good, F.slice("chain", F.lit(2), F.size("chain"))).otherwise(F.col("chain"))
+    return table.select("drive", "frs", "parent_frs", "top", ids.alias("ids"), rel.alias("rel"),
+                        "state", "bad_name")
+
+
+def affected_directories(old: Directories, changed: DataFrame) -> DataFrame:
+    """(drive, frs) of directories whose path a change of ``changed`` rows can alter:
+    those rows, everything that was below them, and chains that ended at them."""
+    keys = changed.select(KEY).distinct()
+    ended = old.table.join(keys.withColumnRenamed("frs", "top"), ["drive", "top"], "left_semi")
+    below = directories_below(old, keys.unionByName(ended.select(KEY)))
+    return below.unionByName(keys).distinct()
+
+
+def refresh_directories(old: Directories, df: DataFrame, changed: DataFrame) -> Directories:
+    """Directory table after changes, recomputing only what they can alter.
+
+    ``df`` is the current catalog, ``changed`` the keys created, renamed or
+    deleted.  A renamed directory shifts its subtree; all other rows keep theirs.
+    """
+    affected = materialize(affected_directories(old, changed), "affected")
+    settled = materialize(_reopened(old.table.join(affected, KEY, "left_anti")), "settled")
+    moved = df.filter("is_directory").join(affected, KEY, "left_semi")
+    working = _resolve(materialize(_start(moved), "dirs"), settled)
+    return Directories(_finished(working.unionByName(settled)), old.hot, old.salts)
+
+
+def refreshed_rows(df: DataFrame, dirs: Directories, affected: DataFrame, changed: DataFrame) -> DataFrame:
+    """Rows whose path may differ after a change, with their new path."""
+    inside = df.join(affected.withColumnRenamed("frs", "parent_frs"), ["drive", "parent_frs"], "left_semi")
+    keys = inside.select(KEY).unionByName(changed.select(KEY)).distinct()
+    return with_paths(df.join(keys, KEY, "left_semi"), dirs)
 
 
 # ---------------------------------------------------------------- paths

@@ -227,16 +227,17 @@ def display_flag(flag: Column, pos: str = "1", neg: str = "0") -> Column:
 
 
 def human_size(size: Column | str) -> Column:
-    """'512 B', '1.3 MB', '2.50 GB'."""
+    """'512 B', '1.3 MB', '2.50 GB'; exact halves round to even."""
     size = _col(size)
 
-    def scaled(unit: int, pattern: str) -> Column:
-        return F.format_string(pattern, size.cast("double") / F.lit(float(unit)))
+    def scaled(unit: int, name: str, digits: int) -> Column:
+        value = F.bround(size.cast("double") / F.lit(float(unit)), digits)
+        return F.format_string(f"%.{digits}f {name}", value)
 
-    return (F.when(size >= TB, scaled(TB, "%.2f TB"))
-            .when(size >= GB, scaled(GB, "%.2f GB"))
-            .when(size >= MB, scaled(MB, "%.1f MB"))
-            .when(size >= KB, scaled(KB, "%.1f KB"))
+    return (F.when(size >= TB, scaled(TB, "TB", 2))
+            .when(size >= GB, scaled(GB, "GB", 2))
+            .when(size >= MB, scaled(MB, "MB", 1))
+            .when(size >= KB, scaled(KB, "KB", 1))
             .otherwise(F.concat(size.cast("string"), F.lit(" B"))))
 
 

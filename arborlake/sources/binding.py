@@ -102,9 +102,9 @@ def catalog(spark: SparkSession, folder: str) -> DataFrame:
 def linked_catalog(catalog_df: DataFrame) -> DataFrame:
     """Catalog with hard links, named streams and stored name bytes.
 
-    Link 0 keeps the file's name; later links get a numbered name in the same
-    directory.  Two thirds of the files carry streams, every 13th record a name
-    that ends in a lone surrogate.
+    Link 0 keeps the file's name and directory; later links get a numbered name,
+    every second one below the root.  Two thirds of the files carry streams, every
+    13th record a name that ends in a lone surrogate.
     """
     link = F.struct(
         F.col("name").alias("name"), F.col("parent_frs").alias("parent_frs"),
@@ -113,7 +113,8 @@ def linked_catalog(catalog_df: DataFrame) -> DataFrame:
     def extra_link(i):
         return F.struct(
             F.concat(F.lit("link"), i.cast("string"), F.lit("_"), F.col("name")).alias("name"),
-            F.col("parent_frs").alias("parent_frs"), F.lit(1).alias("namespace"))
+            F.when(i % 2 == 1, F.lit(ROOT_FRS).cast("bigint")).otherwise(F.col("parent_frs"))
+            .alias("parent_frs"), F.lit(1).alias("namespace"))
 
     names = F.when(~F.col("is_directory"), F.concat(
         F.array(link),

@@ -13,7 +13,7 @@ from arborlake.functions import derive
 from arborlake.operators import hierarchy as h
 from arborlake.operators.hierarchy import Directories
 from arborlake.operators.ordering import page_by
-from arborlake.schema import Field, field
+from arborlake.schema import FLAG_BITS, Field, field
 
 METRICS = ("count", "total_bytes", "total_allocated", "waste_bytes", "waste_pct", "avg_size",
            "min_size", "max_size", "share_count", "share_bytes")
@@ -195,7 +195,7 @@ def terms(df: DataFrame, name: str, top: int | None = None, metrics=None, sample
         "other_count": totals[0] - F.sum("count").over(kept), "total_groups": totals[2]})
     # The window above runs over the limited rows only.
     out = _with_metrics(rows, metrics, totals[0], totals[1])
-    out = out.drop("_n", "_b", "_g")
+    out = out.select("key", *_check_metrics(metrics), "other_count", "total_groups")
     if not sample:
         return out
     hits = top_hits(keyed, out.select("key"), ["key"], sample, sample_sort, sample_desc,
@@ -203,6 +203,21 @@ def terms(df: DataFrame, name: str, top: int | None = None, metrics=None, sample
     return out.join(hits, "key", "left")
 
 
+def flag_facets(df: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """(flag, key, count, total_bytes) of many attribute flags in one pass.
+
+    Rows are counted per distinct attribute mask first; only those few masks are
+    split into flags.
+    """
+    wanted = names or list(FLAG_BITS)
+    masks = df.groupBy("flags").agg(F.count("*").alias("count"), F.sum("size").alias("total_bytes"))
+    entries = [F.struct(F.lit(n).alias("flag"), F.when(derive.has_flag("flags", n), F.lit("true"))
+                        .otherwise(F.lit("false")).alias("key")) for n in wanted]
+    split = masks.select("count", "total_bytes", F.explode(F.array(*entries)).alias("e"))
+    return split.groupBy("e.flag", "e.key").agg(
+        F.sum("count").alias("count"), F.sum("total_bytes").alias("total_bytes"))
+
+
 def top_hits(keyed: DataFrame, surviving: DataFrame, keys: list[str], n: int = 2,
              sort: str = "size", descending: bool = True, fields=SAMPLE_FIELDS,
              dirs: Directories | None = None) -> DataFrame:

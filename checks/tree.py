@@ -127,7 +127,7 @@ def _(spark, sf):
 
 @query("e09_broken_paths", f"""
 SELECT drive, frs, CASE WHEN cut = 0 THEN path ELSE '<unknown:' || above[cut] || '>\\'
-    || array_to_string(list_slice(string_split(path, '\\'), cut + 1, NULL), '\\') END AS path
+    || array_to_string(string_split(path, '\\')[cut + 1:], '\\') END AS path
 FROM (SELECT *, coalesce(list_last([i FOR x, i IN above IF x % 17 = 0]), 0) AS cut FROM paths WHERE {_THIN})""")
 def _(spark, sf):
     df = thinned(spark, sf)
@@ -340,7 +340,7 @@ def _(spark, sf):
 @query("j06_refreshed_paths", r"""
 SELECT drive, frs, CASE WHEN len([x FOR x IN above IF x >= 1000000 AND x < 100000000 AND x % 50 = 0]) > 0
       OR (frs >= 1000000 AND frs < 100000000 AND frs % 50 = 0)
-  THEN regexp_replace(path, '\\Customer#', '\moved_Customer#') ELSE path END AS path FROM paths""")
+  THEN regexp_replace(path, '\\Customer#', '\\moved_Customer#') ELSE path END AS path FROM paths""")
 def _(spark, sf):
     c = cat(spark, sf)
     renamed = F.col("is_directory") & F.col("frs").between(1_000_000, 99_999_999) & (F.col("frs") % 50 == 0)

@@ -31,10 +31,13 @@ def ext(name: Column | str) -> Column:
 
 
 def type_of_extension(extension: Column) -> Column:
-    chain = F.when(extension == "", F.lit("file"))
+    """Category by one look-up in a constant map, so the generated code stays small."""
+    known: dict[str, str] = {"": "file"}
     for category, members in TYPE_EXTENSIONS.items():
-        chain = chain.when(extension.isin(*members), F.lit(category))
-    return chain.otherwise(F.lit("other"))
+        for member in members:
+            known.setdefault(member, category)
+    pairs = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
+    return F.coalesce(F.try_element_at(pairs, extension), F.lit("other"))
 
 
 def semantic_type(extension: Column | str, is_directory: Column | str) -> Column:

@@ -9,14 +9,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from arborlake.functions import derive
 from arborlake.runtime import materialize
 from arborlake.schema import LAST_RESERVED_FRS, ROOT_FRS, ROOT_IDS
 
 KEY = ["drive", "frs"]
-OK, BROKEN, CYCLIC, OPEN = "ok", "broken", "cyclic", "open"
+OK, BROKEN, CYCLIC, LOST, OPEN = "ok", "broken", "cyclic", "lost", "open"
 # A directory that directly holds more rows than this is joined in salted parts.
 HOT_CHILDREN = 5_000_000
 SALTS = 64
@@ -50,12 +50,29 @@ class Directories:
 
 
 def build_directories(df: DataFrame, hot_children: int = HOT_CHILDREN, salts: int = SALTS) -> Directories:
-    """Directory table of a catalog, with its hot directories found beforehand."""
-    hot = (df.groupBy("drive", "parent_frs").agg(F.count("*").alias("n"))
-           .filter(F.col("n") > hot_children).select("drive", "parent_frs"))
-    # Written first: the planner then broadcasts this short list by its real size.
-    hot = materialize(hot, "hot")
-    return Directories(directory_table(df), None if hot.isEmpty() else hot, salts)
+    """Directory table of a catalog, with its hot directories found beforehand.
+
+    Parents that rows name but that have no row are in the table too, so every
+    row finds its parent.
+    """
+    counts = materialize(df.groupBy("drive", "parent_frs").agg(F.count("*").alias("n")), "children")
+    hot = counts.filter(F.col("n") > hot_children).select("drive", "parent_frs")
+    table = directory_table(df)
+    lost = (counts.filter(~_is_root(F.col("parent_frs")))
+            .select("drive", F.col("parent_frs").alias("frs"))
+            .join(table.select(KEY), KEY, "left_anti"))
+    table = materialize(table.unionByName(_lost_rows(lost)), "directories")
+    return Directories(table, None if hot.isEmpty() else hot, salts)
+
+
+def _lost_rows(keys: DataFrame) -> DataFrame:
+    """Directory rows of parents without a record."""
+    none = F.array().cast("array<bigint>")
+    return keys.select(
+        "drive", "frs", F.col("frs").alias("parent_frs"),
+        F.concat(F.lit("<unknown:"), F.col("frs").cast("string"), F.lit(">\\")).alias("path"),
+        none.alias("chain"), F.lit(0).alias("depth"), F.lit(LOST).alias("state"),
+        F.col("frs").alias("top"), F.lit(False).alias("bad_name"))
 
 
 def _joined(head: Column, tail: Column) -> Column:
@@ -81,7 +98,7 @@ def directory_table(df: DataFrame) -> DataFrame:
     re-enters its own chain is a cycle and ends there; one without a row is
     broken.  Rounds are written to the shared folder, which cuts the lineage.
     """
-    return _finished(_resolve(materialize(_start(df.filter("is_directory")), "dirs")))
+    return _finished(_resolve(_start(df.filter("is_directory"))))
 
 
 def _start(dirs: DataFrame) -> DataFrame:
@@ -100,13 +117,20 @@ def _start(dirs: DataFrame) -> DataFrame:
         bad.alias("bad_name"))
 
 
-def _resolve(working: DataFrame, settled: DataFrame | None = None) -> DataFrame:
-    """Double pointers until no row of ``working`` is open; ``settled`` rows help only."""
+def _resolve(start: DataFrame, settled: DataFrame | None = None) -> DataFrame:
+    """Double pointers until no row is open; ``settled`` rows only serve as targets."""
     still_open = F.col("state") == OPEN
-    while not working.filter(still_open).isEmpty():
+
+    def written(rows: DataFrame) -> tuple[DataFrame, int]:
+        seen = Observation()
+        table = materialize(rows.observe(seen, F.count_if(still_open).alias("open")), "dirs")
+        return table, seen.get["open"]
+
+    working, n_open = written(start)
+    while n_open:
         lookup = working if settled is None else working.unionByName(settled)
         stepped = _double(working.filter(still_open), lookup)
-        working = materialize(working.filter(~still_open).unionByName(stepped), "dirs")
+        working, n_open = written(working.filter(~still_open).unionByName(stepped))
     return working
 
 
@@ -164,10 +188,14 @@ def refresh_directories(old: Directories, df: DataFrame, changed: DataFrame) ->
     deleted.  A renamed directory shifts its subtree; all other rows keep theirs.
     """
     affected = materialize(affected_directories(old, changed), "affected")
-    settled = materialize(_reopened(old.table.join(affected, KEY, "left_anti")), "settled")
+    recorded = old.table.filter(F.col("state") != LOST)
+    settled = materialize(_reopened(recorded.join(affected, KEY, "left_anti")), "settled")
     moved = df.filter("is_directory").join(affected, KEY, "left_semi")
-    working = _resolve(materialize(_start(moved), "dirs"), settled)
-    return Directories(_finished(working.unionByName(settled)), old.hot, old.salts)
+    table = _finished(_resolve(_start(moved), settled).unionByName(settled))
+    lost = (old.table.filter(F.col("state") == LOST).select(KEY).unionByName(changed.select(KEY)).distinct()
+            .join(table.select(KEY), KEY, "left_anti"))
+    table = materialize(table.unionByName(_lost_rows(lost)), "directories")
+    return Directories(table, old.hot, old.salts)
 
 
 def refreshed_rows(df: DataFrame, dirs: Directories, affected: DataFrame, changed: DataFrame) -> DataFrame:

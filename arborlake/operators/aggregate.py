@@ -365,7 +365,7 @@ def _subtree_groups(df: DataFrame, dirs: Directories, bucket: Column, own: Colum
     inner = (per_dir.join(placed.filter(F.col("key").isNotNull()), ["drive", "parent_frs"])
              .select("key", *extra, *METRICS[:3], "min_size", "max_size"))
     single = placed.filter("own").select("drive", "parent_frs", "p_path")
-    alone = rows.join(single, ["drive", "parent_frs"])
+    alone = dirs.join_parent(rows, single, "inner")
     own_rows = (alone.withColumn("key", h._path_expr(F.coalesce("name", F.lit(""))))
                 .groupBy("key", *extra).agg(*_partials()))
     return inner.unionByName(own_rows.select(*inner.columns)).groupBy("key", *extra).agg(*_merged())

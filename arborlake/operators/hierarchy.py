@@ -118,19 +118,19 @@ def _start(dirs: DataFrame) -> DataFrame:
 
 
 def _resolve(start: DataFrame, settled: DataFrame | None = None) -> DataFrame:
-    """Double pointers until no row is open; ``settled`` rows only serve as targets."""
-    still_open = F.col("state") == OPEN
-
-    def written(rows: DataFrame) -> tuple[DataFrame, int]:
-        seen = Observation()
-        table = materialize(rows.observe(seen, F.count_if(still_open).alias("open")), "dirs")
-        return table, seen.get["open"]
+    """Double pointers until no row is open; ``settled`` rows only serve as targets.
 
-    working, n_open = written(start)
+    The number of open rows is observed while a round is written.
+    """
+    still_open = F.col("state") == OPEN
+    working, n_open = start, 1
     while n_open:
-        lookup = working if settled is None else working.unionByName(settled)
-        stepped = _double(working.filter(still_open), lookup)
-        working, n_open = written(working.filter(~still_open).unionByName(stepped))
+        targets = working if settled is None else working.unionByName(settled)
+        stepped = _double(working.filter(still_open), targets)
+        rows = working.filter(~still_open).unionByName(stepped)
+        seen = Observation()
+        working = materialize(rows.observe(seen, F.count_if(still_open).alias("open")), "dirs")
+        n_open = seen.get["open"]
     return working
 
 
@@ -269,6 +269,10 @@ def path_at_depth(path: Column, depth: int) -> Column:
             .otherwise(F.substring_index(path, "\\", depth + 1)))
 
 
+def _as_parent(keys: DataFrame) -> DataFrame:
+    return keys.select("drive", F.col("frs").alias("parent_frs"))
+
+
 # ---------------------------------------------------------------- closures
 
 def ancestor_pairs(dirs: Directories) -> DataFrame:
@@ -289,8 +293,7 @@ def directories_below(dirs: Directories, roots: DataFrame) -> DataFrame:
 def expand_descendants(df: DataFrame, dirs: Directories, roots: DataFrame) -> DataFrame:
     """Rows of ``roots`` plus everything below their directories, each once."""
     below = directories_below(dirs, roots)
-    inside = df.join(below.select("drive", F.col("frs").alias("parent_frs")),
-                     ["drive", "parent_frs"], "left_semi").filter(~_is_root(F.col("frs")))
+    inside = dirs.join_parent(df.filter(~_is_root(F.col("frs"))), _as_parent(below), "left_semi")
     selected = (inside.select(KEY).unionByName(roots.select(KEY))).distinct()
     return df.join(selected, KEY, "left_semi")
 
@@ -303,15 +306,15 @@ def descendants_of(df: DataFrame, dirs: Directories, roots: DataFrame) -> DataFr
     parents = pairs.select("drive", F.col("frs").alias("parent_frs"), F.col("anc").alias("root"), "step")
     rows = df.select("drive", "frs", "parent_frs").filter(~_is_root(F.col("frs")))
     first = F.when(F.col("parent_frs") == F.col("root"), F.col("frs")).otherwise(F.col("step"))
-    return (rows.join(parents, ["drive", "parent_frs"])
+    return (dirs.join_parent(rows, parents, "inner")
             .select("drive", "frs", "root", first.alias("first_step")))
 
 
 def orphans(df: DataFrame, dirs: Directories) -> DataFrame:
     """Rows whose chain does not reach the root."""
-    reached = dirs.table.filter(F.col("state") == OK).select("drive", F.col("frs").alias("parent_frs"))
+    reached = _as_parent(dirs.table.filter(F.col("state") == OK))
     hanging = df.filter(~_is_root(F.col("frs")) & ~_is_root(F.col("parent_frs")))
-    return hanging.join(reached, ["drive", "parent_frs"], "left_anti").select(*df.columns)
+    return dirs.join_parent(hanging, reached, "left_anti").select(*df.columns)
 
 
 def missing_parents(df: DataFrame) -> DataFrame:
@@ -339,12 +342,10 @@ def visible_rows(df: DataFrame, dirs: Directories) -> DataFrame:
     def reserved(frs: Column) -> Column:
         return (frs <= LAST_RESERVED_FRS) & (frs != ROOT_FRS)
 
-    good = dirs.table.filter((F.col("state") == OK) & ~F.exists("chain", reserved)).select(
-        "drive", F.col("frs").alias("parent_frs"))
+    good = _as_parent(dirs.table.filter((F.col("state") == OK) & ~F.exists("chain", reserved)))
     candidates = df.filter(~reserved(F.col("frs")))
     top = candidates.filter(_is_root(F.col("parent_frs")))
-    below = (candidates.filter(~_is_root(F.col("parent_frs")))
-             .join(good, ["drive", "parent_frs"], "left_semi"))
+    below = dirs.join_parent(candidates.filter(~_is_root(F.col("parent_frs"))), good, "left_semi")
     return top.unionByName(below.select(*df.columns))
 
 

@@ -95,9 +95,8 @@ def search_path(df: DataFrame, dirs: Directories, pattern: str) -> DataFrame:
     if leaf != "**":
         name = patterns.name_matches(F.col("name"), leaf)
     not_root = ~F.col("frs").isin(*ROOT_IDS)
-    return (rows.filter(name & not_root)
-            .join(parents.select("drive", F.col("frs").alias("parent_frs")),
-                  ["drive", "parent_frs"], "left_semi").select(*df.columns))
+    lookup = parents.select("drive", F.col("frs").alias("parent_frs"))
+    return dirs.join_parent(rows.filter(name & not_root), lookup, "left_semi").select(*df.columns)
 
 
 def search(df: DataFrame, pattern: str = "*", *, dirs: Directories | None = None,

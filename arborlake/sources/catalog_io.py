@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from arborlake.runtime import exists
 from arborlake.schema import CATALOG_SCHEMA
 
 # Columns of an exported listing that a comparison reads.
@@ -41,6 +42,9 @@ def read_volumes(spark: SparkSession, paths: dict[str, str]) -> tuple[DataFrame,
     opened: list[DataFrame] = []
     failed: list[tuple[str, str]] = []
     for drive, path in paths.items():
+        if not exists(spark, path):
+            failed.append((drive, f"no such path: {path}"))
+            continue
         try:
             opened.append(spark.read.parquet(path).withColumn("drive", F.lit(drive)))
         except AnalysisException as error:

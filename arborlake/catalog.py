@@ -46,7 +46,10 @@ class Catalog:
         return h.with_tree_metrics(self.rows, self.sums)
 
     def with_paths(self, df: DataFrame | None = None, dir_suffix: bool = False) -> DataFrame:
-        return h.with_paths(self.rows if df is None else df, self.dirs, dir_suffix)
+        """Add paths to this catalog's rows or to any other rows."""
+        if df is None:
+            return h.with_paths(self.rows, self.dirs, dir_suffix, covered=True)
+        return h.with_paths(df, self.dirs, dir_suffix)
 
     def search(self, pattern: str = "*", filters: Filters | None = None, *, paths: bool = False,
                **options) -> DataFrame:
@@ -60,7 +63,9 @@ class Catalog:
         source = self.tree_rows if tree else self.rows
         options.setdefault("as_of", self.as_of)
         found = srch.search(source, pattern, filters=f, dirs=self.dirs, **options)
-        return self.with_paths(found) if paths and "path" not in found.columns else found
+        if paths and "path" not in found.columns:
+            return h.with_paths(found, self.dirs, covered=True)
+        return found
 
     def scoped(self, pattern: str = "*", filters: Filters | None = None, **options) -> Catalog:
         """Catalog of the matching rows, sharing this one's directory table."""
@@ -85,4 +90,4 @@ class Catalog:
 
     def export(self, path: str, **options) -> None:
         """Write all rows with paths and subtree columns, see :func:`sinks.export`."""
-        sinks.export(self.with_paths(self.tree_rows), path, **options)
+        sinks.export(h.with_paths(self.tree_rows, self.dirs, covered=True), path, **options)

@@ -115,9 +115,10 @@ def verify(group_table: DataFrame, member_rows: DataFrame, contents: DataFrame,
            max_files: int = 0) -> DataFrame:
     """Candidate groups with an ``outcome``: verified, rejected, errored or skipped.
 
-    Contents (drive, frs, content) are read for candidates only.  Each file is
-    reduced to one digest where it lies; a group agrees when its least and
-    greatest digest are equal, which combines before the exchange.
+    Contents are (drive, frs, content).  Each file is reduced to one digest where
+    it lies, so only digests of fixed length are exchanged, never file bodies.  A
+    group agrees when its least and greatest digest are equal, which combines
+    before the exchange.
     """
     if mode not in ("none", "first_bytes", "sha256"):
         raise ValueError(f"unknown verification mode: {mode!r}")

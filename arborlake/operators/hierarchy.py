@@ -58,20 +58,22 @@ def build_directories(df: DataFrame, hot_children: int = HOT_CHILDREN, salts: in
     counts = materialize(df.groupBy("drive", "parent_frs").agg(F.count("*").alias("n")), "children")
     hot = counts.filter(F.col("n") > hot_children).select("drive", "parent_frs")
     table = directory_table(df)
-    lost = (counts.filter(~_is_root(F.col("parent_frs")))
-            .select("drive", F.col("parent_frs").alias("frs"))
+    lost = (counts.select("drive", F.col("parent_frs").alias("frs"))
             .join(table.select(KEY), KEY, "left_anti"))
     table = materialize(table.unionByName(_lost_rows(lost)), "directories")
     return Directories(table, None if hot.isEmpty() else hot, salts)
 
 
 def _lost_rows(keys: DataFrame) -> DataFrame:
-    """Directory rows of parents without a record."""
-    none = F.array().cast("array<bigint>")
+    """Directory rows of parents without a record; a root needs none to be one."""
+    root = _is_root(F.col("frs"))
+    chain = F.when(root, F.array("frs")).otherwise(F.array().cast("array<bigint>"))
+    unknown = F.concat(F.lit("<unknown:"), F.col("frs").cast("string"), F.lit(">\\"))
     return keys.select(
         "drive", "frs", F.col("frs").alias("parent_frs"),
-        F.concat(F.lit("<unknown:"), F.col("frs").cast("string"), F.lit(">\\")).alias("path"),
-        none.alias("chain"), F.lit(0).alias("depth"), F.lit(LOST).alias("state"),
+        F.when(root, _root_path(F.col("drive"))).otherwise(unknown).alias("path"),
+        chain.alias("chain"), F.size(chain).alias("depth"),
+        F.when(root, F.lit(OK)).otherwise(F.lit(LOST)).alias("state"),
         F.col("frs").alias("top"), F.lit(False).alias("bad_name"))
 
 
@@ -207,11 +209,11 @@ def refreshed_rows(df: DataFrame, dirs: Directories, affected: DataFrame, change
 
 # ---------------------------------------------------------------- paths
 
-def _with_parent(df: DataFrame, dirs: Directories, *columns: str) -> DataFrame:
-    """Left join of rows to their parent's directory row, columns prefixed ``p_``."""
+def _with_parent(df: DataFrame, dirs: Directories, *columns: str, how: str = "left") -> DataFrame:
+    """Join of rows to their parent's directory row, columns prefixed ``p_``."""
     parent = dirs.table.select("drive", F.col("frs").alias("parent_frs"),
                                *[F.col(c).alias(f"p_{c}") for c in columns])
-    return dirs.join_parent(df, parent)
+    return dirs.join_parent(df, parent, how)
 
 
 def _path_expr(name: Column) -> Column:
@@ -226,13 +228,15 @@ def _path_expr(name: Column) -> Column:
             .otherwise(F.concat(parent, glue, name)))
 
 
-def with_paths(df: DataFrame, dirs: Directories, dir_suffix: bool = False) -> DataFrame:
+def with_paths(df: DataFrame, dirs: Directories, dir_suffix: bool = False, covered: bool = False) -> DataFrame:
     """Add ``path``; rows of any filtered subset resolve against the full table.
 
     With ``dir_suffix`` directories end in a backslash and a named stream is
-    appended as ``file:stream``.
+    appended as ``file:stream``.  ``covered`` promises that ``dirs`` was built from
+    a table that holds all these rows; every row then finds its parent, and an
+    inner join lets a short result be the broadcast side instead of the table.
     """
-    joined = _with_parent(df, dirs, "path")
+    joined = _with_parent(df, dirs, "path", how="inner" if covered else "left")
     path = _path_expr(F.coalesce("name", F.lit("")))
     if dir_suffix:
         stream = F.coalesce(F.col("stream_name"), F.lit("")) if "stream_name" in df.columns else F.lit("")

@@ -20,6 +20,13 @@ from arborlake.runtime import hadoop_fs, materialize
 from arborlake.streaming.changes import META_COLUMNS, net_changes
 
 DIRECTORY_BIT = 0x10
+# Base folders are split by record id, so that a batch reads only the parts of a
+# volume it touches.
+BLOCK_RECORDS = 1 << 24
+
+
+def block_of(frs: Column) -> Column:
+    return F.call_function("div", frs, F.lit(BLOCK_RECORDS))
 
 
 def decide(current: Column) -> Column:
@@ -147,7 +154,8 @@ class CatalogStore:
 
     def _write_base(self, m: Manifest, df: DataFrame, number: int) -> None:
         folder = f"{self.root}/base/v={number}"
-        df.write.mode("overwrite").partitionBy("drive").parquet(folder)
+        (df.withColumn("block", block_of(F.col("frs"))).repartitionByRange("drive", "frs")
+         .write.mode("overwrite").partitionBy("drive", "block").parquet(folder))
         fs, jpath = hadoop_fs(self.spark, folder)
         for status in fs.listStatus(jpath):
             name = status.getPath().getName()
@@ -155,12 +163,21 @@ class CatalogStore:
                 drive = name[len("drive="):]
                 m.base[drive], m.floor[drive] = f"{folder}/{name}", m.last_batch
 
-    def base(self, m: Manifest, drives: list[str] | None = None) -> DataFrame:
+    def base(self, m: Manifest, drives: list[str] | None = None, keys: DataFrame | None = None) -> DataFrame:
+        """Base rows of all or some volumes, or of some keys.
+
+        A look-up of keys joins on the block folders too, so run-time partition
+        pruning opens only the blocks that hold one of them.
+        """
         paths = [p for d, p in sorted(m.base.items()) if drives is None or d in drives]
-        if not paths:
-            return self.base(m).filter(F.lit(False))
-        rows = self.spark.read.option("basePath", f"{self.root}/base").parquet(*paths)
-        return rows.withColumn("drive", F.col("drive").cast("string")).drop("v")
+        empty = not paths
+        rows = self.spark.read.option("basePath", f"{self.root}/base").parquet(*(paths or m.base.values()))
+        rows = rows.withColumns({"drive": F.col("drive").cast("string"), "block": F.col("block").cast("bigint")})
+        if keys is not None:
+            wanted = keys.select(*KEY, block_of(F.col("frs")).alias("block"))
+            rows = rows.join(wanted, ["drive", "block", "frs"], "left_semi")
+        rows = rows.drop("v", "block")
+        return rows.filter(F.lit(False)) if empty else rows
 
     def delta(self, m: Manifest) -> DataFrame | None:
         """Pending delta rows above each volume's floor."""
@@ -172,14 +189,16 @@ class CatalogStore:
             floors = F.when(F.col("drive") == drive, F.lit(floor)).otherwise(floors)
         return rows.filter(F.col("batch") > floors)
 
-    def read(self, drives: list[str] | None = None) -> DataFrame:
+    def read(self, drives: list[str] | None = None, keys: DataFrame | None = None) -> DataFrame:
         """Current rows: base overlaid with the pending deltas."""
         m = self.manifest()
-        rows, pending = self.base(m, drives), self.delta(m)
+        rows, pending = self.base(m, drives, keys), self.delta(m)
         if pending is None:
             return rows
         if drives is not None:
             pending = pending.filter(F.col("drive").isin(*drives))
+        if keys is not None:
+            pending = pending.join(keys.select(*KEY), KEY, "left_semi").select(*pending.columns)
         return overlay(rows, pending.drop("action"))
 
     # ------------------------------------------------------------ writing
@@ -200,8 +219,7 @@ class CatalogStore:
             changes = changes.filter(~F.col("drive").isin(*stale)) if stale else changes
         net = materialize(net_changes(changes), "net")
         drives = [r["drive"] for r in net.select("drive").distinct().collect()]   # volume letters
-        m_read = self.read(drives) if drives else self.base(m).filter(F.lit(False))
-        current = m_read.join(net.select(*KEY), KEY, "left_semi")
+        current = self.read(drives, net)
         planned = plan_changes(current, net).withColumn("batch", F.lit(batch).cast("bigint"))
         folder = f"{self.root}/delta/batch={batch:012d}-v{m.version}"
         planned.write.mode("overwrite").parquet(folder)

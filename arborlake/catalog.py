@@ -22,6 +22,7 @@ class Catalog:
 
     rows: DataFrame
     as_of: datetime | None = None
+    whole: Catalog | None = None    # the catalog this one is a part of
 
     @classmethod
     def read(cls, spark: SparkSession, path: str, as_of: datetime | None = None) -> Catalog:
@@ -34,7 +35,7 @@ class Catalog:
 
     @cached_property
     def dirs(self) -> h.Directories:
-        return h.build_directories(self.rows)
+        return self.whole.dirs if self.whole else h.build_directories(self.rows)
 
     @cached_property
     def sums(self) -> DataFrame:
@@ -62,15 +63,24 @@ class Catalog:
             srch.find_field(n).needs == "tree" for n, _ in srch.ordering.parse_sort(sort)))
         source = self.tree_rows if tree else self.rows
         options.setdefault("as_of", self.as_of)
-        found = srch.search(source, pattern, filters=f, dirs=self.dirs, **options)
+        limit = options.get("limit")
+        late_sort = paths and limit is None and sort is not None
+        if late_sort:
+            options.pop("sort")
+        found = srch.search(source, pattern, filters=f, dirs=lambda: self.dirs, **options)
         if paths and "path" not in found.columns:
-            return h.with_paths(found, self.dirs, covered=True)
+            found = h.with_paths(found, self.dirs, covered=True)
+        if late_sort:
+            return srch.ordering.sort_by(found, sort)
+        if paths and limit is not None:
+            # The path join does not keep the order of the limited rows.
+            return srch.ordering.top_n(found, sort or srch.ordering.DEFAULT_SORT, limit)
         return found
 
     def scoped(self, pattern: str = "*", filters: Filters | None = None, **options) -> Catalog:
         """Catalog of the matching rows, sharing this one's directory table."""
         part = replace(self, rows=self.search(pattern, filters, **options))
-        part.__dict__["dirs"] = self.dirs
+        part.whole = self.whole or self
         return part
 
     def preset(self, name: str) -> dict[str, DataFrame]:
@@ -86,7 +96,8 @@ class Catalog:
         return dup.duplicates(self.rows, keys, top, sample, self.dirs)
 
     def filter(self, filters: Filters) -> DataFrame:
-        return apply_filters(self.rows, filters, self.as_of or datetime.now(), self.dirs)
+        walks = filters.needs_path or filters.malformed_path is not None
+        return apply_filters(self.rows, filters, self.as_of or datetime.now(), self.dirs if walks else None)
 
     def export(self, path: str, **options) -> None:
         """Write all rows with paths and subtree columns, see :func:`sinks.export`."""

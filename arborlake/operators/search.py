@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 from datetime import datetime
 
@@ -99,15 +100,16 @@ def search_path(df: DataFrame, dirs: Directories, pattern: str) -> DataFrame:
     return dirs.join_parent(rows.filter(name & not_root), lookup, "left_semi").select(*df.columns)
 
 
-def search(df: DataFrame, pattern: str = "*", *, dirs: Directories | None = None,
+def search(df: DataFrame, pattern: str = "*", *, dirs: Directories | Callable[[], Directories] | None = None,
            case: str = INSENSITIVE, whole_word: bool = False, match_path: bool = False,
            filters: Filters | None = None, as_of: datetime | None = None,
            expand: bool = False, sort: str | list[str] | None = None, limit: int | None = None,
            offset: int = 0, drives: list[str] | None = None) -> DataFrame:
     """Matching rows, sorted and cut last, as a lazy DataFrame.
 
-    Needs ``dirs`` when the pattern, a filter or the sort looks at paths.  With
-    ``expand`` every matching directory brings everything below it.
+    Needs ``dirs`` when the pattern, a filter or the sort looks at paths; a
+    function that gives it is called only then.  With ``expand`` every matching
+    directory brings everything below it.
     """
     scoped = read_scope(pattern)
     f = filters or Filters()
@@ -126,7 +128,8 @@ def search(df: DataFrame, pattern: str = "*", *, dirs: Directories | None = None
     if expand:
         matched = out
         out = expand_descendants(df, _dirs(dirs), matched)
-    out = flt.apply(out, f, moment, dirs)
+    walks = f.needs_path or f.malformed_path is not None
+    out = flt.apply(out, f, moment, _dirs(dirs) if walks else None)
     if (match_path or scoped.match_path) and scoped.pattern not in ("", "*"):
         if "path" not in out.columns:
             out = with_paths(out, _dirs(dirs))
@@ -152,10 +155,10 @@ def _sort_needs_path(sort: str | list[str]) -> bool:
     return any(find_field(name).needs == "path" for name, _ in ordering.parse_sort(sort))
 
 
-def _dirs(dirs: Directories | None) -> Directories:
+def _dirs(dirs: Directories | Callable[[], Directories] | None) -> Directories:
     if dirs is None:
         raise ValueError("this search needs the directory table, see build_directories")
-    return dirs
+    return dirs() if callable(dirs) else dirs
 
 
 def find_by_path(df: DataFrame, dirs: Directories, path: str) -> DataFrame:

@@ -14,8 +14,8 @@ AS_OF = datetime(2024, 3, 15, 10, 30)
 
 @pytest.fixture(scope="session")
 def spark():
-    session = build_session("tests", "local[4]", **{
-        "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false",
+    session = build_session("tests", "local[8]", **{
+        "spark.sql.shuffle.partitions": "2", "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "4g"})
     session.sparkContext.setLogLevel("ERROR")
     return session

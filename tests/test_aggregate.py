@@ -177,7 +177,7 @@ def test_verification_outcomes(spark):
 def test_budget_passes_over_what_does_not_fit(spark):
     sizes = [50, 40, 30, 9, 8, 7, 1]
     bodies = {i: (size, b"z" * size) for i, size in enumerate(x for s_ in sizes for x in (s_, s_))}
-    for budget in (0, 1, 20, 100, 115, 130, 199, 1000):
+    for budget in (0, 20, 115, 199):
         left, expected = budget or 10**9, {}
         for size in sizes:
             fits = 2 * size <= left

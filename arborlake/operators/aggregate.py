@@ -27,13 +27,12 @@ _FEW_GROUPS = ("drive", "type")
 
 # ---------------------------------------------------------------- metrics
 
-def _partials(size: Column | None = None) -> list[Column]:
-    size = F.col("size") if size is None else size
+def _partials() -> list[Column]:
     return [F.count("*").alias("count"),
-            F.coalesce(F.sum(size), F.lit(0)).alias("total_bytes"),
+            F.coalesce(F.sum("size"), F.lit(0)).alias("total_bytes"),
             F.coalesce(F.sum("allocated_size"), F.lit(0)).alias("total_allocated"),
-            F.coalesce(F.min(size), F.lit(0)).alias("min_size"),
-            F.coalesce(F.max(size), F.lit(0)).alias("max_size")]
+            F.coalesce(F.min("size"), F.lit(0)).alias("min_size"),
+            F.coalesce(F.max("size"), F.lit(0)).alias("max_size")]
 
 
 def _merged() -> list[Column]:
@@ -69,6 +68,28 @@ def _check_metrics(metrics) -> tuple[str, ...]:
     return wanted
 
 
+def _group_totals(grouped: DataFrame, metrics) -> tuple[Column, Column, Column]:
+    """Rows, bytes and number of groups of a grouped table, as one scalar subquery.
+
+    It sums exactly the partial columns the bucket rows use, so both sides ask for
+    the same grouping and its exchange is computed once.
+    """
+    wanted = set(_check_metrics(metrics))
+    use_bytes = wanted & {"total_bytes", "waste_bytes", "waste_pct", "avg_size", "share_bytes"}
+    parts = {"n": F.sum("count"), "g": F.count("*")}
+    if use_bytes:
+        parts["b"] = F.sum("total_bytes")
+    if wanted & {"total_allocated", "waste_bytes", "waste_pct"}:
+        parts["a"] = F.sum("total_allocated")
+    if "min_size" in wanted:
+        parts["lo"] = F.min("min_size")
+    if "max_size" in wanted:
+        parts["hi"] = F.max("max_size")
+    whole = grouped.agg(F.struct(*[c.alias(k) for k, c in parts.items()]).alias("t")).scalar()
+    zero = F.lit(0).cast("bigint")
+    return F.coalesce(whole["n"], zero), F.coalesce(whole["b"], zero) if use_bytes else zero, whole["g"]
+
+
 def _scope_totals(df: DataFrame, metrics) -> tuple[Column, Column]:
     """Count and bytes of the whole scope as scalar subqueries, when shares ask for them."""
     wanted = _check_metrics(metrics)
@@ -186,9 +207,7 @@ def terms(df: DataFrame, name: str, top: int | None = None, metrics=None, sample
         totals = F.col("_n"), F.col("_b"), F.col("_g")
     else:
         sized = grouped
-        share = _scope_totals(keyed, metrics)
-        totals = (keyed.agg(F.count("*")).scalar(), share[1],
-                  keyed.agg(F.count_distinct("key")).scalar())
+        totals = _group_totals(grouped, metrics)
     first = sized.orderBy(*order).limit(top)
     kept = W.partitionBy()
     rows = first.withColumns({
@@ -284,7 +303,7 @@ def histogram(df: DataFrame, name: str, interval: int, metrics=None) -> DataFram
     value = derive.field_column(df, f.name)
     low = F.call_function("div", value, F.lit(interval)) * F.lit(interval)
     grouped = df.withColumn("key", low).groupBy("key").agg(*_partials())
-    return _with_metrics(grouped, metrics, *_scope_totals(df, metrics))
+    return _with_metrics(grouped, metrics, *_group_totals(grouped, metrics)[:2])
 
 
 def range_key(value: Column, boundaries: list[int]) -> Column:
@@ -299,7 +318,7 @@ def range_(df: DataFrame, name: str, boundaries: list[int], metrics=None) -> Dat
     f = _capable(name, "bucket")
     value = derive.field_column(df, f.name)
     grouped = df.withColumn("key", range_key(value, sorted(boundaries))).groupBy("key").agg(*_partials())
-    return _with_metrics(grouped, metrics, *_scope_totals(df, metrics))
+    return _with_metrics(grouped, metrics, *_group_totals(grouped, metrics)[:2])
 
 
 _FIXED_DAYS = {"hour": None, "day": 1, "week": 7, "month": 30, "quarter": 90, "year": 365}
@@ -332,7 +351,7 @@ def date_histogram(df: DataFrame, name: str, calendar: str = "month", metrics=No
         raise ValueError(f"field {f.name!r} is not a time")
     key = date_key(derive.field_column(df, f.name), calendar, mode)
     grouped = df.withColumn("key", key).groupBy("key").agg(*_partials())
-    return _with_metrics(grouped, metrics, *_scope_totals(df, metrics))
+    return _with_metrics(grouped, metrics, *_group_totals(grouped, metrics)[:2])
 
 
 # ---------------------------------------------------------------- rollups
@@ -345,7 +364,7 @@ def _ranked(buckets: DataFrame, top: int | None) -> DataFrame:
 def rollup_drive(df: DataFrame, top: int | None = 26, metrics=None) -> DataFrame:
     """Totals per volume, most bytes first."""
     grouped = df.groupBy(F.concat("drive", F.lit(":")).alias("key")).agg(*_partials())
-    return _ranked(_with_metrics(grouped, metrics, *_scope_totals(df, metrics)), top)
+    return _ranked(_with_metrics(grouped, metrics, *_group_totals(grouped, metrics)[:2]), top)
 
 
 def _subtree_groups(df: DataFrame, dirs: Directories, bucket: Column, own: Column,

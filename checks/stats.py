@@ -302,7 +302,7 @@ def _(spark, sf):
 def coarse(spark, sf):
     """Catalog with sizes in whole 4 MiB blocks, so that equal files exist."""
     c = cat(spark, sf)
-    return replace(c, rows=c.rows.withColumn("size", F.expr("size div 4194304 * 4194304")))
+    return replace(c, whole=c, rows=c.rows.withColumn("size", F.expr("size div 4194304 * 4194304")))
 
 
 _GROUPS = """

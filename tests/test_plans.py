@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from arborlake import Catalog, Filters
 from arborlake.operators import aggregate as agg, hierarchy as h
-from arborlake.runtime import scratch_root
+from arborlake.runtime import scratch_path, scratch_root
+from arborlake.sources import catalog_io
 from checks import base
 from conftest import AS_OF, frame, record
 
@@ -54,6 +55,25 @@ def test_samples_are_limited_before_the_exchange(stored):
     assert "WindowGroupLimit" in text and "Partial" in text
 
 
+def test_totals_reuse_the_grouping(stored):
+    df = agg.terms(stored.rows, "extension", 5)
+    df.collect()
+    assert df._jdf.queryExecution().executedPlan().toString().count("ReusedExchange") >= 1
+
+
+def test_bucketed_tables_join_without_an_exchange(spark, stored):
+    catalog_io.write_bucketed(stored.rows, stored.dirs.table, "bucketed", scratch_path(spark, "bucketed"), 4)
+    dirs = h.Directories(spark.table("bucketed_dirs"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = h.with_paths(spark.table("bucketed"), dirs)
+        assert "Exchange" not in plan(rows)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert {tuple(r) for r in rows.select("drive", "frs", "path").collect()} == {
+        tuple(r) for r in stored.with_paths().select("drive", "frs", "path").collect()}
+
+
 def test_files_are_summed_before_they_meet_ancestors(stored):
     text = plan(h.tree_sums(stored.rows, stored.dirs))
     assert text.index("Generate explode") > text.index("partial_sum")     # deeper in the plan

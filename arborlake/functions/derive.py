@@ -155,8 +155,10 @@ def fold(text: Column | str) -> Column:
 def filetime_to_timestamp(ticks: Column | str) -> Column:
     """100-ns ticks since 1601 to a timestamp; 0 means unset and gives NULL."""
     ticks = _col(ticks)
-    micros = F.call_function("div", ticks - F.lit(116_444_736_000_000_000), F.lit(10))
-    return F.when(ticks != 0, F.timestamp_micros(micros).cast("timestamp_ntz"))
+    since_1970 = F.call_function("div", ticks - F.lit(116_444_736_000_000_000), F.lit(10))
+    seconds = (since_1970.cast("decimal(24,6)") / F.lit(1_000_000)).cast("decimal(18,6)")
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return F.when(ticks != 0, epoch + F.make_dt_interval(secs=seconds))
 
 
 def calendar_parts(ts: Column | str) -> dict[str, Column]:
@@ -202,7 +204,10 @@ def size_bucket8(size: Column | str) -> Column:
 
 
 def micros(ts: Column) -> Column:
-    return F.unix_micros(ts.cast("timestamp"))
+    """Microseconds of a wall-clock time since 1970, whatever the session time zone."""
+    minutes = (F.hour(ts) * 60 + F.minute(ts)).cast("bigint")
+    seconds = (F.extract(F.lit("second"), ts) * 1_000_000).cast("bigint")
+    return F.unix_date(ts.cast("date")) * F.lit(86_400_000_000) + minutes * F.lit(60_000_000) + seconds
 
 
 def age_bucket(ts: Column | str, as_of: datetime) -> Column:

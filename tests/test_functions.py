@@ -83,6 +83,13 @@ def test_filetime(spark):
     ticks = [0, 116_444_736_000_000_000, 133_549_470_000_000_000]
     got = column(spark, ticks, d.filetime_to_timestamp("v"), "long")
     assert got == [None, datetime(1970, 1, 1), datetime(2024, 3, 15, 3, 30)]
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        assert column(spark, ticks, d.filetime_to_timestamp("v"), "long") == got
+        back = d.micros(d.filetime_to_timestamp("v")) * 10 + 116_444_736_000_000_000
+        assert column(spark, ticks[1:], back, "long") == ticks[1:]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
 def test_paths_text(spark):

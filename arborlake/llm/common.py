@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -14,6 +17,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once per application, so that they can import what tasks name."""
+    app = spark.sparkContext.applicationId
+    if app not in _SHIPPED:
+        top = Path(__file__).resolve().parents[2]
+        folder = tempfile.mkdtemp(prefix="arborlake-code-")
+        archive = f"{folder}/arborlake.zip"
+        with zipfile.ZipFile(archive, "w") as out:
+            for f in sorted((top / "arborlake").rglob("*.py")):
+                out.write(f, f.relative_to(top))
+        spark.sparkContext.addPyFile(archive)
+        _SHIPPED.add(app)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z and nothing else (``lower`` would also change other letters)."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

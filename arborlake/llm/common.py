@@ -54,3 +54,32 @@ def byte_rows(batches, *columns: str) -> Iterator[tuple]:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def range_bounds(df: DataFrame, column: str, n: int) -> list[int]:
+    """Least values of at most ``n`` even ranges of an integer column; equal values share a range.
+
+    Reads this column alone. The list has a number for each range that the caller asks for.
+    """
+    ranges = (df.select(column).filter(F.col(column).isNotNull()).repartitionByRange(n, column)
+              .groupBy(F.spark_partition_id()).agg(F.min(column).alias("low")))
+    return sorted(r.low for r in ranges.collect())
+
+
+def range_bucket(value: Column, bounds: list[int]) -> Column:
+    """Number of the range that holds ``value``, by binary search; nulls are in range 0."""
+    if len(bounds) < 2:
+        return F.lit(0)
+    array = F.lit(bounds[1:])
+    low = lambda s: s["low"]
+
+    def halve(s, _):
+        mid = F.floor((s["low"] + s["high"]) / 2).cast("int")
+        right = F.get(array, mid) <= value
+        return F.when(s["low"] >= s["high"], s).when(
+            right, F.struct((mid + 1).alias("low"), s["high"].alias("high"))).otherwise(
+            F.struct(s["low"].alias("low"), mid.alias("high")))
+
+    start = F.struct(F.lit(0).alias("low"), F.lit(len(bounds) - 1).alias("high"))
+    steps = F.sequence(F.lit(0), F.lit(len(bounds).bit_length()))
+    return F.when(value.isNull(), F.lit(0)).otherwise(F.aggregate(steps, start, halve, low))

@@ -7,8 +7,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from arborlake.llm import decontaminate, simhash
+from arborlake.llm import decontaminate, simhash, tokenstore
 from arborlake.llm.common import ship, table
+from arborlake.runtime import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -33,6 +34,27 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+#: Vocabulary of the token files; its place is a parameter.
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def token_rows(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
+    """Writes the token files of ``docs`` to the shared folder, and what is read back from them."""
+    spark = docs.sparkSession
+    if tokenizer is None:
+        import public_tokenizers
+
+        tokenizer = public_tokenizers.path(TOKENIZER)
+    path = scratch_path(spark, "tokens")
+    tokenstore.write(docs, path, tokenizer)
+    return tokenstore.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query("op6_token_id_binary_output")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_rows(table(spark, sf_dir, "documents"))
+
+
 OP8_SQL = """
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(translate(text,
              'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w

@@ -14,7 +14,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from arborlake.llm.common import byte_rows, shuffle_partitions
+from arborlake.llm.common import byte_rows, range_bounds, range_bucket, shuffle_partitions
 
 #: Texts (those with the least hashes) and their longest part that the dictionary is trained on; it only
 #: makes files smaller, every document is encoded and compressed whole.
@@ -24,7 +24,6 @@ CACHE_UNITS, MISS_CHARS = 600_000, 1 << 20
 #: Bytes of compressed documents that a range of ids, and so a data file, has on average.
 FILE_BYTES = 32 << 20
 
-ENCODED = "doc_id long, n_tokens long, frame binary"
 #: White space on both sides of a space: a cut there would change how the run is split.
 _UNSAFE = re.compile(r"\s \s|^ \s|\s $")
 
@@ -57,10 +56,9 @@ class Encoder:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _learn(self, units: list[str]) -> None:
+        """Encodes units that begin with a space and end with another character, joined to long texts."""
         import numpy as np
 
-        if len(self.known) + len(units) > CACHE_UNITS:
-            self.known.clear()
         at = 0
         while at < len(units):
             end, chars = at, 0
@@ -68,12 +66,11 @@ class Encoder:
                 chars += len(units[end])
                 end += 1
             some, at = units[at:end], end
-            text = "".join(some)
-            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+            ids = np.array(self.tokenizer.encode("".join(some), add_special_tokens=False).ids, dtype="<u4")
             stops = np.cumsum([len(u.encode()) for u in some])
             ends = np.cumsum(self.width[ids])
             cuts = np.searchsorted(ends, stops)
-            if len(ids) and (ends[-1] != stops[-1] or not np.array_equal(ends[cuts], stops)):
+            if ends[-1] != stops[-1] or not np.array_equal(ends[cuts], stops):
                 self.known.update((u, self.whole(u)) for u in some)
                 continue
             data, a = ids.tobytes(), 0
@@ -82,6 +79,8 @@ class Encoder:
                 a = b
 
     def batch(self, texts: list[str]) -> list[bytes]:
+        if len(self.known) > CACHE_UNITS:
+            self.known.clear()
         split: list[list[str] | None] = []
         new: dict[str, None] = {}
         for text in texts:
@@ -90,22 +89,197 @@ class Encoder:
                 continue
             first, *rest = text.split(" ")
             units = [" " + u for u in rest]
-            if first and first not in self.known:
-                self.known[first] = self.whole(first)
-            split.append([first, *units] if first else units)
+            if first:
+                units.insert(0, first)
+            split.append(units)
             new.update((u, None) for u in units if u not in self.known)
-        if new:
-            kept = {u[0] for u in split if u and u[0] in self.known} if len(self.known) + len(new) > CACHE_UNITS else ()
-            self._learn(list(new))
-            for u in kept:
-                self.known.setdefault(u, self.whole(u))
-            if kept:  # the memory was emptied: units of these texts may be gone
-                missing = {u for units in split if units for u in units if u not in self.known}
-                self._learn(list(missing)) if len(self.known) + len(missing) <= CACHE_UNITS else None
-        out = []
-        for text, units in zip(texts, split):
-            try:
-                out.append(b"" if not text else self.whole(text) if units is None else b"".join(map(self.known.__getitem__, units)))
-            except KeyError:
-                out.append(self.whole(text))
-        return out
+        joined = []
+        for u in new:
+            if u[0] == " " and not u[-1].isspace():
+                joined.append(u)
+            else:
+                self.known[u] = self.whole(u)
+        self._learn(joined)
+        return [b"" if not text else self.whole(text) if units is None else b"".join(map(self.known.__getitem__, units))
+                for text, units in zip(texts, split)]
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """One encoder for each worker process, so that units are remembered from task to task."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
+def _encoded(docs: DataFrame, tokenizer: str, end_id: int, pack: Callable[[], Callable[[bytes], bytes]]) -> DataFrame:
+    """Rows (bucket, doc_id, n_tokens, frame) of rows (bucket, doc_id, text); ``pack`` makes the packer of a task."""
+    end = array("I", [end_id]).tobytes()
+
+    def run(batches):
+        import pyarrow as pa
+
+        coder, packer = encoder(tokenizer), pack()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 128):
+                part = batch.slice(at, 128)
+                data = [ids + end for ids in coder.batch([t or "" for t in part.column("text").to_pylist()])]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("bucket"), part.column("doc_id"), pa.array([len(d) // 4 for d in data], pa.int64()),
+                     pa.array([packer(d) for d in data], pa.binary())], names=["bucket", "doc_id", "n_tokens", "frame"])
+
+    return docs.mapInArrow(run, "bucket int, doc_id long, n_tokens long, frame binary")
+
+
+def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int = 0) -> bytes:
+    """A zstandard dictionary of the id arrays of the SAMPLE_DOCS rows whose ids have the least hashes."""
+    import zstandard
+
+    order = F.xxhash64("doc_id")
+    least = docs.select(order.alias("h")).orderBy("h").limit(SAMPLE_DOCS).agg(F.max("h")).first()[0]
+    if least is None:
+        return b""
+    some = docs.filter(order <= least).limit(SAMPLE_DOCS).select(F.lit(0).alias("bucket"), "doc_id", "text")
+    cut = SAMPLE_IDS * 4
+    samples = [r.frame for r in _encoded(some, tokenizer, end_id, lambda: lambda d: d[:cut]).select("frame").collect()]
+    try:
+        return zstandard.train_dictionary(DICTIONARY_BYTES, samples, level=3).as_bytes()
+    except zstandard.ZstdError:  # too few or too equal samples: the files work without a dictionary
+        return b""
+
+
+def _filesystem(path: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path)
+
+
+def _dictionary(path: str, digest: str):
+    """The dictionary of a folder, or None if it has none; refuses one of other contents."""
+    import hashlib
+
+    import zstandard
+
+    files, root = _filesystem(path)
+    with files.open_input_stream(f"{root}/dictionary.zdict") as f:
+        data = f.read()
+    if hashlib.sha256(data).hexdigest() != digest:
+        raise ValueError(f"the dictionary in {path} is not the one its documents were compressed with")
+    return zstandard.ZstdCompressionDict(data) if data else None
+
+
+def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id_col: str = "doc_id",
+          text_col: str = "text") -> None:
+    """Writes the ids of all rows of ``docs``, ``end_id`` after each, to the new folder ``path``.
+
+    Documents are in ascending id order, nulls first; rows with equal ids follow each other in the order of
+    their compressed bytes. A null text counts as empty and has the end id alone. A task that runs again writes
+    files of another name; the index names those of the attempt that Spark committed.
+    """
+    import hashlib
+
+    spark = docs.sparkSession
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    files, root = _filesystem(path)
+    files.create_dir(root, recursive=True)
+    shared = train_dictionary(rows, tokenizer, end_id)
+    with files.open_output_stream(f"{root}/dictionary.zdict") as f:
+        f.write(shared)
+    digest = hashlib.sha256(shared).hexdigest()
+    spark.createDataFrame([(digest, tokenizer, end_id, 1)], "dictionary_sha256 string, tokenizer string, end_id int, version int") \
+        .coalesce(1).write.parquet(f"{path}/header")
+
+    def pack():
+        import zstandard
+
+        return zstandard.ZstdCompressor(level=1, dict_data=_dictionary(path, digest), write_content_size=True).compress
+
+    def save(batches):
+        import pyarrow as pa
+
+        files, root = _filesystem(path)
+        bucket, name, out, at, first = None, None, None, 0, 0
+        try:
+            for batch in batches:
+                index = []
+                for b, doc_id, n, frame in byte_rows([batch], "bucket", "doc_id", "n_tokens", "frame"):
+                    if b != bucket:
+                        if out:
+                            out.close()
+                        bucket, name, at, first = b, f"data-{b:07d}-{uuid.uuid4().hex}.tok", 0, 0
+                        out = files.open_output_stream(f"{root}/{name}")
+                    out.write(frame)
+                    index.append((b, name, at, len(frame), doc_id, first, n))
+                    at += len(frame)
+                    first += n
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*index), (
+                    pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()))] if index else
+                    [pa.array([], t) for t in (pa.int32(), pa.string(), *[pa.int64()] * 5)], names=names)
+        finally:
+            if out:
+                out.close()
+
+    names = ["bucket", "file", "offset", "length", "doc_id", "first", "n_tokens"]
+    size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    # About a byte of compressed ids for each character.
+    bounds = range_bounds(rows, "doc_id", max(1, size // FILE_BYTES, min(shuffle_partitions(spark), size >> 20)))
+    placed = rows.select(range_bucket(F.col("doc_id"), bounds).alias("bucket"), "doc_id", "text")
+    ordered = (_encoded(placed, tokenizer, end_id, pack).repartition(max(1, len(bounds)), "bucket")
+               .sortWithinPartitions("bucket", "doc_id", "frame"))
+    ordered.mapInArrow(save, "bucket int, file string, offset long, length long, doc_id long, first long, n_tokens long") \
+        .write.parquet(f"{path}/index")
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """Rows (doc_id, start, n_tokens, ids) of a written folder; ``ids`` as little-endian unsigned 32-bit integers.
+
+    ``start`` counts the ids of all documents before it. Only one row for each data file is brought together.
+    """
+    digest = spark.read.parquet(f"{path}/header").first()["dictionary_sha256"]
+    index = spark.read.parquet(f"{path}/index")
+
+    def load(batches):
+        import pyarrow as pa
+        import zstandard
+
+        files, root = _filesystem(path)
+        unpack = zstandard.ZstdDecompressor(dict_data=_dictionary(path, digest)).decompress
+        name, source = None, None
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                ids = []
+                for f, offset, length in byte_rows([part], "file", "offset", "length"):
+                    if f.decode() != name:
+                        if source:
+                            source.close()
+                        name = f.decode()
+                        source = files.open_input_file(f"{root}/{name}")
+                    ids.append(unpack(source.read_at(length, offset)))
+                yield pa.RecordBatch.from_arrays([part.column("bucket"), part.column("doc_id"), part.column("first"),
+                                                  part.column("n_tokens"), pa.array(ids, pa.binary())],
+                                                 names=["bucket", "doc_id", "first", "n_tokens", "ids"])
+        if source:
+            source.close()
+
+    before = W.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
+    starts = (index.groupBy("bucket").agg(F.sum("n_tokens").alias("n"))
+              .select("bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")))
+    data = index.mapInArrow(load, "bucket int, doc_id long, first long, n_tokens long, ids binary")
+    return data.join(starts, "bucket").select("doc_id", (F.col("base") + F.col("first")).alias("start"), "n_tokens", "ids")
+
+
+def documents(spark: SparkSession, path: str, ids: list[int]) -> dict[int, list[int]]:
+    """Token ids of a few documents by short reads, without touching the rest of the files."""
+    import zstandard
+
+    digest = spark.read.parquet(f"{path}/header").first()["dictionary_sha256"]
+    unpack = zstandard.ZstdDecompressor(dict_data=_dictionary(path, digest)).decompress
+    files, root = _filesystem(path)
+    out = {}
+    for r in spark.read.parquet(f"{path}/index").filter(F.col("doc_id").isin(list(ids))).collect():
+        with files.open_input_file(f"{root}/{r.file}") as f:
+            out[r.doc_id] = array("I", unpack(f.read_at(r.length, r.offset))).tolist()
+    return out

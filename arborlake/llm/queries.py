@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from arborlake.llm import decontaminate, simhash, tokenstore
+from arborlake.llm import decontaminate, mixing, simhash, tokenstore
 from arborlake.llm.common import ship, table
 from arborlake.runtime import scratch_path
 
@@ -34,6 +34,13 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query("op3_mix_to_target_weights")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planned = mixing.plan(table(spark, sf_dir, "documents"))
+    return planned.select("doc_id", "mix.size", "mix.source_size", "mix.target",
+                          (F.col("mix.size") * F.size("mix.draws")).alias("taken"))
+
+
 #: Vocabulary of the token files; its place is a parameter.
 TOKENIZER = "byte_bpe_50k.json"
 

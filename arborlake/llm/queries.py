@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from arborlake.llm import decontaminate, mixing, simhash, tokenstore, toxicity
+from arborlake.llm import decontaminate, mixing, secrets, simhash, tokenstore, toxicity
 from arborlake.llm.common import ship, table
 from arborlake.runtime import scratch_path
 
@@ -98,3 +98,40 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, toxicity.learnable(table(spark, sf_dir, "labels")))
     return toxicity.score(docs, model).select("doc_id", toxicity.held_out().alias("held_out"), "score",
                                               (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+OP5_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(CAST(doc_id AS VARCHAR), '') AS repo,
+                  coalesce(source, '') AS owner, coalesce(text, '') AS t FROM documents),
+m AS (SELECT r, 0 AS k, 8 AS least, regexp_extract_all(t, '(?i:(password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 0) AS m,
+             regexp_extract_all(t, '(?i:(password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2) AS v,
+             string_split_regex(t, '(?i:(password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)') AS g
+      FROM d
+      UNION ALL SELECT r, 1, 16, regexp_extract_all(t, 'AKIA[A-Z0-9]+', 0), regexp_extract_all(t, 'AKIA[A-Z0-9]+', 0),
+             string_split_regex(t, 'AKIA[A-Z0-9]+') FROM d
+      UNION ALL SELECT r, 2, 32, regexp_extract_all(t, '[0-9a-f]+', 0), regexp_extract_all(t, '[0-9a-f]+', 0),
+             string_split_regex(t, '[0-9a-f]+') FROM d),
+every AS (SELECT r, k, least, v, [len(x) FOR x IN m] AS n, [len(x) FOR x IN g] AS g,
+                 unnest(range(1, len(m) + 1)) AS i FROM m WHERE len(m) > 0),
+base AS (SELECT r, k, v[i] AS v, list_sum(g[1:i]) + coalesce(list_sum(n[1:i - 1]), 0) AS b,
+                list_sum(g[1:i]) + list_sum(n[1:i]) AS e FROM every WHERE len(v[i]) >= least),
+judged AS (SELECT v, count(DISTINCT owner) AS owners,
+                  len(list_distinct(string_split(v, ''))) >= 8
+                  AND NOT regexp_matches(v, '(?i)example|sample|dummy|changeme|placeholder|your|xxxx') AS random
+           FROM base JOIN d USING (r) GROUP BY v),
+added AS (SELECT DISTINCT r, CASE WHEN owners = 1 THEN 3 ELSE 4 END AS k, e - len(v) AS b, e
+          FROM base JOIN judged USING (v) WHERE owners >= 3 OR owners = 1 AND random),
+named AS (SELECT r, b, k, e, ['assign', 'access', 'hex', 'live', 'copied'][k + 1] || ':' || CAST(b AS BIGINT) || ':' || CAST(e AS BIGINT) AS s
+          FROM (SELECT r, b, k, e FROM base UNION ALL SELECT r, b, k, e FROM added)),
+per AS (SELECT r, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+               string_agg(s, ',' ORDER BY b, k) FILTER (k < 3) AS base_spans, string_agg(s, ',' ORDER BY b, k, e) AS spans
+        FROM named GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base_spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN per USING (r)
+"""
+
+
+@query("op5_secret_scan", OP5_SQL)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))

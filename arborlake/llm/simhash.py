@@ -206,3 +206,23 @@ def near_duplicates(docs: DataFrame, radius: int = 3, words: int = 3, seed: int
     return (prints.join(placed, "fingerprint")
             .select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"),
                     "component_id"))
+
+
+def deduplicated(docs: DataFrame, radius: int = 3, words: int = 3, seed: int = 42, id_col: str = "doc_id",
+                 text_col: str = "text") -> DataFrame:
+    """One row of each group of near duplicates, all columns kept: the one with the smallest id, nulls last.
+
+    Of rows with equal ids in a group the one with the least hash of id and text stays, of repeated rows one.
+    """
+    key = F.xxhash64(F.col(id_col), F.col(text_col))
+    keyed = docs.select(F.col(id_col).cast("long").alias("doc"), key.alias("key"), F.col(text_col).alias("text"))
+    found = near_duplicates(keyed, radius, words, seed, "key", "text").select("key", "component_id")
+    ids = keyed.select("doc", "key").distinct()
+    kept = (found.distinct().join(ids, "key").groupBy("component_id")
+            .agg(F.min(F.struct(F.col("doc").isNull(), "doc", "key")).alias("least")).select(F.col("least.key").alias("kept_key")))
+    kept = materialize(kept, "kept")
+    out = docs.join(kept, key == F.col("kept_key"), "left_semi")
+    if found.groupBy("key").count().filter("count > 1").join(kept, F.col("key") == F.col("kept_key")).limit(1).count():
+        named = out.withColumn("_kept_key", key)
+        out = named.dropDuplicates(["_kept_key"]).drop("_kept_key")
+    return out

@@ -7,7 +7,6 @@ read with one look in the index and one short read, as no document needs its nei
 
 from __future__ import annotations
 
-import re
 import uuid
 from array import array
 from collections.abc import Callable
@@ -19,89 +18,87 @@ from arborlake.llm.common import byte_rows, range_bounds, range_bucket, shuffle_
 #: Texts (those with the least hashes) and their longest part that the dictionary is trained on; it only
 #: makes files smaller, every document is encoded and compressed whole.
 SAMPLE_DOCS, SAMPLE_IDS, DICTIONARY_BYTES = 2000, 4096, 64 << 10
-#: Distinct units whose ids a worker remembers, and bytes of misses encoded at once.
-CACHE_UNITS, MISS_CHARS = 600_000, 1 << 20
+#: Distinct units, and pieces of them, whose ids a worker remembers.
+CACHE_UNITS = 600_000
+# Fixed value: the pattern by which byte-level vocabularies split a text into pieces.
+PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Bytes of compressed documents that a range of ids, and so a data file, has on average.
 FILE_BYTES = 32 << 20
 
-#: White space on both sides of a space: a cut there would change how the run is split.
-_UNSAFE = re.compile(r"\s \s|^ \s|\s $")
+
+class _Memory(dict):
+    """Remembers what ``make`` gives for a key; emptied between texts once it has CACHE_UNITS keys."""
+
+    def __init__(self, make):
+        self.make = make
+
+    def __missing__(self, key):
+        value = self[key] = self.make(key)
+        return value
 
 
 class Encoder:
     """Ids of whole texts as little-endian unsigned 32-bit integers.
 
-    Byte-level vocabularies split a text before a space that stands between two other characters, whatever
-    surrounds it, so ids of the units between such spaces can be remembered. New units are encoded together
-    and told apart by their bytes. Texts with other runs around a space are encoded whole.
+    A byte-level vocabulary splits a text before a space that stands between two other characters, whatever
+    surrounds it, so ids of the units between such spaces can be remembered, and so can those of the pieces that
+    the vocabulary's pattern finds in a unit. The library's model is asked for new pieces only. Texts with white
+    space before a space or with a space at their end, units with an added token, and other kinds of vocabulary are
+    encoded whole.
     """
 
     def __init__(self, path: str):
+        import json
         import os
 
-        import numpy as np
+        import regex
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-        size = self.tokenizer.get_vocab_size()
-        # Each character of a byte-level token stands for one byte; added tokens are ordinary text of their own.
-        self.width = np.zeros(size, np.int64)
-        for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
-            self.width[i] = len(token)
+        self.model = self.tokenizer.model
+        if hasattr(self.model, "_resize_cache"):
+            self.model._resize_cache(0)  # pieces are remembered here; the inner memory only adds look-ups
+        with open(path) as f:
+            kind = json.load(f)
+        split = kind["pre_tokenizer"] or {}
+        self.by_piece = (kind["model"]["type"] == "BPE" and not kind["normalizer"] and split.get("type") == "ByteLevel"
+                         and split["use_regex"] and not split["add_prefix_space"])
+        self.added = [t["content"] for t in kind["added_tokens"]]
+        self.find = regex.compile(PIECE).findall
+        self.signs = {b: chr(b) for b in (*range(33, 127), *range(161, 173), *range(174, 256))}
+        self.signs |= {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in self.signs)}
+        self.units, self.pieces = _Memory(self._unit), _Memory(self._piece)
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _learn(self, units: list[str]) -> None:
-        """Encodes units that begin with a space and end with another character, joined to long texts."""
-        import numpy as np
-
-        at = 0
-        while at < len(units):
-            end, chars = at, 0
-            while end < len(units) and chars < MISS_CHARS:
-                chars += len(units[end])
-                end += 1
-            some, at = units[at:end], end
-            ids = np.array(self.tokenizer.encode("".join(some), add_special_tokens=False).ids, dtype="<u4")
-            stops = np.cumsum([len(u.encode()) for u in some])
-            ends = np.cumsum(self.width[ids])
-            cuts = np.searchsorted(ends, stops)
-            if ends[-1] != stops[-1] or not np.array_equal(ends[cuts], stops):
-                self.known.update((u, self.whole(u)) for u in some)
-                continue
-            data, a = ids.tobytes(), 0
-            for u, b in zip(some, ((cuts + 1) * 4).tolist()):
-                self.known[u] = data[a:b]
-                a = b
-
-    def batch(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > CACHE_UNITS:
-            self.known.clear()
-        split: list[list[str] | None] = []
-        new: dict[str, None] = {}
-        for text in texts:
-            if not text or _UNSAFE.search(text):
-                split.append(None)
-                continue
-            first, *rest = text.split(" ")
-            units = [" " + u for u in rest]
-            if first:
-                units.insert(0, first)
-            split.append(units)
-            new.update((u, None) for u in units if u not in self.known)
-        joined = []
-        for u in new:
-            if u[0] == " " and not u[-1].isspace():
-                joined.append(u)
-            else:
-                self.known[u] = self.whole(u)
-        self._learn(joined)
-        return [b"" if not text else self.whole(text) if units is None else b"".join(map(self.known.__getitem__, units))
-                for text, units in zip(texts, split)]
+    def _piece(self, piece: str) -> bytes:
+        found = self.model.tokenize(piece.encode().decode("latin-1").translate(self.signs))
+        return array("I", [t.id for t in found]).tobytes()
+
+    def _unit(self, unit: str) -> bytes | None:
+        """Ids of a space and ``unit``; None if the cut after the unit is no end of a piece."""
+        if not unit or unit[-1].isspace():
+            return None
+        if any(a in unit for a in self.added):
+            return self.whole(" " + unit)
+        return b"".join(map(self.pieces.__getitem__, self.find(" " + unit)))
+
+    def encode(self, text: str) -> bytes:
+        if not text or not self.by_piece:
+            return self.whole(text)
+        for memory in (self.units, self.pieces):
+            if len(memory) > CACHE_UNITS:
+                memory.clear()
+        first, *rest = text.split(" ")
+        if first[-1:].isspace():
+            return self.whole(text)
+        try:
+            return self.whole(first) + b"".join(map(self.units.__getitem__, rest))
+        except TypeError:  # a unit that is None
+            return self.whole(text)
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -125,7 +122,7 @@ def _encoded(docs: DataFrame, tokenizer: str, end_id: int, pack: Callable[[], Ca
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
-                data = [ids + end for ids in coder.batch([t or "" for t in part.column("text").to_pylist()])]
+                data = [coder.encode(t or "") + end for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("bucket"), part.column("doc_id"), pa.array([len(d) // 4 for d in data], pa.int64()),
                      pa.array([packer(d) for d in data], pa.binary())], names=["bucket", "doc_id", "n_tokens", "frame"])
@@ -258,17 +255,17 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                         name = f.decode()
                         source = files.open_input_file(f"{root}/{name}")
                     ids.append(unpack(source.read_at(length, offset)))
-                yield pa.RecordBatch.from_arrays([part.column("bucket"), part.column("doc_id"), part.column("first"),
-                                                  part.column("n_tokens"), pa.array(ids, pa.binary())],
-                                                 names=["bucket", "doc_id", "first", "n_tokens", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("start"), part.column("n_tokens"),
+                                                  pa.array(ids, pa.binary())], names=["doc_id", "start", "n_tokens", "ids"])
         if source:
             source.close()
 
     before = W.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     starts = (index.groupBy("bucket").agg(F.sum("n_tokens").alias("n"))
               .select("bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")))
-    data = index.mapInArrow(load, "bucket int, doc_id long, first long, n_tokens long, ids binary")
-    return data.join(starts, "bucket").select("doc_id", (F.col("base") + F.col("first")).alias("start"), "n_tokens", "ids")
+    placed = (index.join(starts, "bucket").withColumn("start", F.col("base") + F.col("first"))
+              .repartition(4 * shuffle_partitions(spark), "file").sortWithinPartitions("file", "offset"))
+    return placed.mapInArrow(load, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def documents(spark: SparkSession, path: str, ids: list[int]) -> dict[int, list[int]]:

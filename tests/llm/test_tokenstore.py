@@ -25,17 +25,22 @@ def slow(text, coder=tokenstore.encoder(PATH)):
 def test_units_encode_like_whole_texts(texts):
     coder = tokenstore.encoder(PATH)
     texts = [*texts, "x <|endoftext|> y", "a\n \nb  c", " \nb", "don't  it's"]
-    assert [array("I", d).tolist() for d in coder.batch(texts)] == [slow(t)[:-1] for t in texts]
+    assert [array("I", coder.encode(t)).tolist() for t in texts] == [slow(t)[:-1] for t in texts]
+
+
+def test_other_vocabularies_are_encoded_whole():
+    coder = tokenstore.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    text = "Hello  there, it's fine"
+    assert array("I", coder.encode(text)).tolist() == coder.tokenizer.encode(text, add_special_tokens=False).ids
 
 
 def test_memory_of_units_may_be_emptied(monkeypatch):
     monkeypatch.setattr(tokenstore, "CACHE_UNITS", 5)
-    monkeypatch.setattr(tokenstore, "MISS_CHARS", 10)
     coder = tokenstore.Encoder(PATH)
     rng = random.Random(1)
     for _ in range(20):
         texts = [" ".join(rng.choice(["ab", "cd,", "é.", "x\n", "中"]) for _ in range(9)) for _ in range(3)]
-        assert [array("I", d).tolist() for d in coder.batch(texts)] == [slow(t)[:-1] for t in texts]
+        assert [array("I", coder.encode(t)).tolist() for t in texts] == [slow(t)[:-1] for t in texts]
 
 
 def check(spark, docs, rows):

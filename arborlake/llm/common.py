@@ -56,14 +56,18 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def range_bounds(df: DataFrame, column: str, n: int) -> list[int]:
-    """Least values of at most ``n`` even ranges of an integer column; equal values share a range.
+def range_spans(df: DataFrame, column: str, n: int) -> list[tuple[int, int]]:
+    """(least, largest) values of at most ``n`` even ranges of an integer column; equal values share a range.
 
-    Reads this column alone. The list has a number for each range that the caller asks for.
+    Reads this column alone. The list has an entry for each range that the caller asks for.
     """
     ranges = (df.select(column).filter(F.col(column).isNotNull()).repartitionByRange(n, column)
-              .groupBy(F.spark_partition_id()).agg(F.min(column).alias("low")))
-    return sorted(r.low for r in ranges.collect())
+              .groupBy(F.spark_partition_id()).agg(F.min(column).alias("low"), F.max(column).alias("high")))
+    return sorted((r.low, r.high) for r in ranges.collect())
+
+
+def range_bounds(df: DataFrame, column: str, n: int) -> list[int]:
+    return [low for low, _ in range_spans(df, column, n)]
 
 
 def range_bucket(value: Column, bounds: list[int]) -> Column:

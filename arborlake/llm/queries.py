@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from arborlake.llm import decontaminate, mixing, secrets, simhash, tokenstore, toxicity
+from arborlake.llm import decontaminate, mixing, secrets, simhash, tokenstore, toxicity, winnow
 from arborlake.llm.common import ship, table
 from arborlake.runtime import scratch_path
 
@@ -62,6 +62,16 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_rows(table(spark, sf_dir, "documents"))
 
 
+@query("op7_document_fingerprints")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = winnow.beside_next(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
+                       winnow.as_text(F.col("kept")).alias("fingerprint"),
+                       winnow.as_text(F.col("edited_kept")).alias("edited_fingerprint"),
+                       winnow.likeness(F.col("kept"), F.col("edited_kept")).alias("near_edited"),
+                       winnow.likeness(F.col("kept"), F.col("next_kept")).alias("near_next"))
+
+
 OP8_SQL = """
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(translate(text,
              'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w

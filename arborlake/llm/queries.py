@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from arborlake.llm import decontaminate, mixing, secrets, simhash, tokenstore, toxicity, winnow
+from arborlake.llm import decontaminate, mixing, secrets, simhash, tokenstore, toxicity, urltree, winnow
 from arborlake.llm.common import ship, table
 from arborlake.runtime import scratch_path
 
@@ -145,3 +145,14 @@ FROM d LEFT JOIN per USING (r)
 @query("op5_secret_scan", OP5_SQL)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
+
+
+#: Rules of the query: verdict, host and path.
+RULES = (urltree.Rule("block", "com", "/en/"), urltree.Rule("allow", "example.com", "/en/7"), urltree.Rule("allow", "net", "/de/"),
+         urltree.Rule("block", "example.net", "/de/8"), urltree.Rule("block", "org", "/es/"))
+
+
+@query("op10_url_filter")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = urltree.judge(table(spark, sf_dir, "pages"), RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from arborlake.llm import decontaminate, mixing, secrets, simhash, tokenstore, toxicity, urltree, winnow
+from arborlake.llm import decontaminate, htmltext, mixing, secrets, simhash, tokenstore, toxicity, urltree, winnow
 from arborlake.llm.common import ship, table
 from arborlake.runtime import scratch_path
 
@@ -34,6 +34,12 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query("op2_html_main_text")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = htmltext.main_text(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 @query("op3_mix_to_target_weights")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     planned = mixing.plan(table(spark, sf_dir, "documents"))

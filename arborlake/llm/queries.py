@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from arborlake.llm import decontaminate, htmltext, mixing, secrets, simhash, tokenstore, toxicity, urltree, winnow
+from arborlake.llm import cotraining, decontaminate, htmltext, mixing, secrets, simhash, tokenstore, toxicity, urltree, winnow
 from arborlake.llm.common import ship, table
 from arborlake.runtime import scratch_path
 
@@ -116,6 +116,14 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
                                               (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+@query("op4_quality_cotraining")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = cotraining.fit(docs, toxicity.learnable(table(spark, sf_dir, "labels")))
+    return cotraining.score(docs, model).select("doc_id", toxicity.held_out().alias("held_out"), "score",
+                                                cotraining.predicted().alias("predicted"), "text_score", "page_score")
+
+
 OP5_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(CAST(doc_id AS VARCHAR), '') AS repo,
                   coalesce(source, '') AS owner, coalesce(text, '') AS t FROM documents),

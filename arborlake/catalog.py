@@ -89,7 +89,7 @@ class Catalog:
     def terms(self, name: str, top: int | None = None, **options) -> DataFrame:
         return agg.terms(self.rows, name, top, **options)
 
-    def rollup(self, depth: int = 1, top: int | None = 30, **options) -> DataFrame:
+    def rollup(self, depth: int = 1, top: int | None = None, **options) -> DataFrame:
         return agg.rollup_path(self.rows, self.dirs, depth, top, **options)
 
     def duplicates(self, keys=("size", "name"), top: int = 100, sample: int = 2) -> DataFrame:

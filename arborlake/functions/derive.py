@@ -11,7 +11,8 @@ from arborlake.functions.categories import TYPE_EXTENSIONS
 from arborlake.schema import FLAG_BITS, METAFILE_NAMES, PARITY_MASK, field
 
 BULKINESS_SCALE = 1_000_000
-MAX_PATH_LENGTH = 65_535
+LEGACY_PATH_LENGTH = 65_535
+MAX_BIGINT = (1 << 63) - 1
 KB, MB, GB, TB = 1 << 10, 1 << 20, 1 << 30, 1 << 40
 
 
@@ -47,15 +48,17 @@ def semantic_type(extension: Column | str, is_directory: Column | str) -> Column
 
 
 def bulkiness(logical: Column | str, allocated: Column | str) -> Column:
-    """allocated x 10^6 / logical in whole numbers; 0 when logical is 0."""
+    """allocated x 10^6 / logical in whole numbers; 0 when logical is 0, at most the largest BIGINT.
+
+    Quotient and remainder are scaled apart, as their products fit a decimal for all sizes.
+    """
     logical, allocated = _col(logical), _col(allocated)
-    narrow = F.call_function("div", allocated * F.lit(BULKINESS_SCALE), logical)
-    wide = F.call_function(
-        "div", allocated.cast("decimal(20,0)") * F.lit(BULKINESS_SCALE).cast("decimal(10,0)"),
-        logical.cast("decimal(20,0)"))
-    return (F.when(logical == 0, F.lit(0).cast("bigint"))
-            .when(allocated < F.lit(9_000_000_000_000), narrow)
-            .otherwise(wide))
+    scale = F.lit(BULKINESS_SCALE).cast("decimal(7,0)")
+    scaled = lambda c: c.cast("decimal(19,0)") * scale
+    rest = F.call_function("div", scaled(allocated % logical), logical.cast("decimal(19,0)"))
+    whole = scaled(F.call_function("div", allocated, logical)) + rest.cast("decimal(19,0)")
+    return F.when(logical == 0, F.lit(0).cast("bigint")).otherwise(
+        F.least(whole, F.lit(MAX_BIGINT).cast("decimal(27,0)")).cast("bigint"))
 
 
 def effective_size(is_directory: Column | str, own: Column | str, tree: Column | str) -> Column:
@@ -80,8 +83,10 @@ def name_length(name: Column | str) -> Column:
     return F.char_length(_col(name))
 
 
-def path_length(path: Column | str) -> Column:
-    return F.least(F.char_length(_col(path)), F.lit(MAX_PATH_LENGTH))
+def path_length(path: Column | str, legacy_cut: bool = False) -> Column:
+    """Characters of a path; ``legacy_cut`` gives no more than a 16-bit number can hold."""
+    n = F.char_length(_col(path))
+    return F.least(n, F.lit(LEGACY_PATH_LENGTH)) if legacy_cut else n
 
 
 def path_only(path: Column | str) -> Column:

@@ -361,7 +361,7 @@ def _ranked(buckets: DataFrame, top: int | None) -> DataFrame:
     return ordered.limit(top) if top else ordered
 
 
-def rollup_drive(df: DataFrame, top: int | None = 26, metrics=None) -> DataFrame:
+def rollup_drive(df: DataFrame, top: int | None = None, metrics=None) -> DataFrame:
     """Totals per volume, most bytes first."""
     grouped = df.groupBy(F.concat("drive", F.lit(":")).alias("key")).agg(*_partials())
     return _ranked(_with_metrics(grouped, metrics, *_group_totals(grouped, metrics)[:2]), top)
@@ -401,11 +401,11 @@ def _rollup(df, dirs, bucket, own, top, metrics, sub, sub_top) -> DataFrame:
     inside = groups.join(outer.select("key"), "key", "left_semi")
     ranked = (_with_metrics(inside, metrics, *totals)
               .withColumn("sub_rank", F.row_number().over(order)))
-    return ranked.filter(F.col("sub_rank") <= sub_top)
+    return ranked.filter(F.col("sub_rank") <= sub_top) if sub_top else ranked
 
 
-def rollup_path(df: DataFrame, dirs: Directories, depth: int = 1, top: int | None = 30,
-                metrics=None, sub: str | None = None, sub_top: int = 30) -> DataFrame:
+def rollup_path(df: DataFrame, dirs: Directories, depth: int = 1, top: int | None = None,
+                metrics=None, sub: str | None = None, sub_top: int | None = None) -> DataFrame:
     """Totals per ancestor ``depth`` levels under the root, most bytes first.
 
     Rows that are not that deep are their own bucket.  With ``sub`` each bucket is
@@ -417,8 +417,8 @@ def rollup_path(df: DataFrame, dirs: Directories, depth: int = 1, top: int | Non
 
 
 def rollup_ancestor(df: DataFrame, dirs: Directories, drive: str, ancestor: int,
-                    top: int | None = 30, metrics=None, sub: str | None = None,
-                    sub_top: int = 30, outside: str = "own") -> DataFrame:
+                    top: int | None = None, metrics=None, sub: str | None = None,
+                    sub_top: int | None = None, outside: str = "own") -> DataFrame:
     """Totals per direct child of one directory.
 
     Rows not below it are their own buckets, or left out with ``outside="drop"``.

@@ -17,58 +17,42 @@ from arborlake.schema import LAST_RESERVED_FRS, ROOT_FRS, ROOT_IDS
 
 KEY = ["drive", "frs"]
 OK, BROKEN, CYCLIC, LOST, OPEN = "ok", "broken", "cyclic", "lost", "open"
-# A directory that directly holds more rows than this is joined in salted parts.
-HOT_CHILDREN = 5_000_000
-SALTS = 64
 
 
 @dataclass(frozen=True)
 class Directories:
-    """Directory table plus the keys of its hot directories, if there are any."""
+    """Directory table of a catalog."""
 
     table: DataFrame
-    hot: DataFrame | None = None
-    salts: int = SALTS
 
     def join_parent(self, rows: DataFrame, lookup: DataFrame, how: str = "left") -> DataFrame:
-        """Join rows to ``lookup``, which has one row per (drive, parent_frs).
+        """Join rows to ``lookup``, which has one row per (drive, parent_frs); a NULL parent meets a NULL one.
 
-        Rows of a hot directory spread over salted copies of its lookup row, so
-        no task receives all of them, also when a grouping on the same key
-        follows and adaptive execution would leave the partition whole.
+        Both sides are plain exchanges, so adaptive execution splits the rows of a directory that directly holds
+        a large share of all rows.
         """
-        keys = ["drive", "parent_frs"]
-        if self.hot is None:
-            return rows.join(lookup, keys, how)
-        hot = self.hot.withColumn("_hot", F.lit(True))
-        spread = F.when(F.col("_hot"), F.pmod(F.xxhash64("frs", "name" if "name" in rows.columns else "frs"),
-                                              F.lit(self.salts)).cast("int")).otherwise(F.lit(0))
-        copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(self.salts - 1))).otherwise(F.array(F.lit(0)))
-        left = rows.join(hot, keys, "left").withColumn("_salt", spread).drop("_hot")
-        right = lookup.join(hot, keys, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
-        return left.join(right, [*keys, "_salt"], how).drop("_salt")
-
-
-def build_directories(df: DataFrame, hot_children: int = HOT_CHILDREN, salts: int = SALTS) -> Directories:
-    """Directory table of a catalog, with its hot directories found beforehand.
-
-    Parents that rows name but that have no row are in the table too, so every
+        found = lookup.withColumnsRenamed({"drive": "_drive", "parent_frs": "_parent_frs"})
+        same = (rows["drive"] == found["_drive"]) & rows["parent_frs"].eqNullSafe(found["_parent_frs"])
+        return rows.join(found, same, how).drop("_drive", "_parent_frs")
+
+
+def build_directories(df: DataFrame) -> Directories:
+    """Directory table of a catalog.
+
+    Parents that rows name but that have no row are in the table too, the NULL parent among them, so every
     row finds its parent.
     """
-    counts = materialize(df.groupBy("drive", "parent_frs").agg(F.count("*").alias("n")), "children")
-    hot = counts.filter(F.col("n") > hot_children).select("drive", "parent_frs")
+    named = df.select("drive", F.col("parent_frs").alias("frs")).distinct()
     table = directory_table(df)
-    lost = (counts.select("drive", F.col("parent_frs").alias("frs"))
-            .join(table.select(KEY), KEY, "left_anti"))
-    table = materialize(table.unionByName(_lost_rows(lost)), "directories")
-    return Directories(table, None if hot.isEmpty() else hot, salts)
+    lost = named.join(table.select(KEY), KEY, "left_anti")
+    return Directories(materialize(table.unionByName(_lost_rows(lost)), "directories"))
 
 
 def _lost_rows(keys: DataFrame) -> DataFrame:
     """Directory rows of parents without a record; a root needs none to be one."""
     root = _is_root(F.col("frs"))
     chain = F.when(root, F.array("frs")).otherwise(F.array().cast("array<bigint>"))
-    unknown = F.concat(F.lit("<unknown:"), F.col("frs").cast("string"), F.lit(">\\"))
+    unknown = _unknown("frs")
     return keys.select(
         "drive", "frs", F.col("frs").alias("parent_frs"),
         F.when(root, _root_path(F.col("drive"))).otherwise(unknown).alias("path"),
@@ -77,6 +61,11 @@ def _lost_rows(keys: DataFrame) -> DataFrame:
         F.col("frs").alias("top"), F.lit(False).alias("bad_name"))
 
 
+def _unknown(frs: str) -> Column:
+    """Path that stands for a parent without a record; the id is empty if it is NULL."""
+    return F.concat(F.lit("<unknown:"), F.coalesce(F.col(frs).cast("string"), F.lit("")), F.lit(">\\"))
+
+
 def _joined(head: Column, tail: Column) -> Column:
     """head \\ tail, leaving out empty parts."""
     return (F.when(head == "", tail).when(tail == "", head)
@@ -194,10 +183,14 @@ def refresh_directories(old: Directories, df: DataFrame, changed: DataFrame) ->
     settled = materialize(_reopened(recorded.join(affected, KEY, "left_anti")), "settled")
     moved = df.filter("is_directory").join(affected, KEY, "left_semi")
     table = _finished(_resolve(_start(moved), settled).unionByName(settled))
-    lost = (old.table.filter(F.col("state") == LOST).select(KEY).unionByName(changed.select(KEY)).distinct()
-            .join(table.select(KEY), KEY, "left_anti"))
-    table = materialize(table.unionByName(_lost_rows(lost)), "directories")
-    return Directories(table, old.hot, old.salts)
+    # Lost before, deleted by the change, or first named by a changed row; and named by some row now.
+    parents = df.select("drive", F.col("parent_frs").alias("frs"))
+    named = df.join(changed.select(KEY), KEY, "left_semi").select("drive", F.col("parent_frs").alias("frs"))
+    maybe = (old.table.filter(F.col("state") == LOST).select(KEY).unionByName(changed.select(KEY)).unionByName(named)
+             .distinct().join(table.select(KEY), KEY, "left_anti"))
+    same = (maybe["drive"] == parents["drive"]) & maybe["frs"].eqNullSafe(parents["frs"])
+    lost = maybe.join(parents, same, "left_semi")
+    return Directories(materialize(table.unionByName(_lost_rows(lost)), "directories"))
 
 
 def refreshed_rows(df: DataFrame, dirs: Directories, affected: DataFrame, changed: DataFrame) -> DataFrame:
@@ -219,8 +212,7 @@ def _with_parent(df: DataFrame, dirs: Directories, *columns: str, how: str = "le
 def _path_expr(name: Column) -> Column:
     """Full path from the parent's path column ``p_path``."""
     parent = (F.when(_is_root(F.col("parent_frs")), _root_path(F.col("drive")))
-              .when(F.col("p_path").isNull(),
-                    F.concat(F.lit("<unknown:"), F.col("parent_frs").cast("string"), F.lit(">\\")))
+              .when(F.col("p_path").isNull(), _unknown("parent_frs"))
               .otherwise(F.col("p_path")))
     glue = F.when(parent.endswith("\\"), F.lit("")).otherwise(F.lit("\\"))
     return (F.when(_is_root(F.col("frs")), _root_path(F.col("drive")))
@@ -233,8 +225,8 @@ def with_paths(df: DataFrame, dirs: Directories, dir_suffix: bool = False, cover
 
     With ``dir_suffix`` directories end in a backslash and a named stream is
     appended as ``file:stream``.  ``covered`` promises that ``dirs`` was built from
-    a table that holds all these rows; every row then finds its parent, and an
-    inner join lets a short result be the broadcast side instead of the table.
+    a table that holds all these rows; every row then finds its parent, a NULL one too,
+    and an inner join lets a short result be the broadcast side instead of the table.
     """
     joined = _with_parent(df, dirs, "path", how="inner" if covered else "left")
     path = _path_expr(F.coalesce("name", F.lit("")))

@@ -57,5 +57,5 @@ def prune_volumes(df: DataFrame, summary: DataFrame, extensions) -> DataFrame:
     """
     wanted = expand_extensions(extensions)
     able = summary.filter(F.col("ext").isin(*wanted)).select("drive").distinct()
-    return (df.join(F.broadcast(able), "drive", "left_semi")   # at most 26 volumes
+    return (df.join(able, "drive", "left_semi")
             .filter(derive.field_column(df, "extension").isin(*wanted)))

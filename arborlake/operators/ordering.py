@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from arborlake.functions import derive
-from arborlake.runtime import running_totals
+from arborlake.runtime import materialize
 from arborlake.schema import find_field
 
 DEFAULT_SORT = ["-modified"]
-# Pages that end within this many rows are taken by a bounded top-n.
-DIRECT_PAGE_ROWS = 100_000
 
 
 def parse_sort(spec: str | list[str]) -> list[tuple[str, bool]]:
@@ -79,13 +77,22 @@ def page(df: DataFrame, spec: str | list[str], limit: int, offset: int = 0) -> D
 def page_by(df: DataFrame, order: list[Column], limit: int, offset: int = 0) -> DataFrame:
     """Rows offset .. offset+limit of a total order.
 
-    A page near the start is a bounded top-n.  A deep page numbers the rows with
-    distributed running totals, so nothing before it passes through one task.
+    Rows are range partitioned and counted per partition; only the partitions that hold
+    the page are sorted and numbered, so nothing before it passes through a task.
     """
-    if offset + limit <= DIRECT_PAGE_ROWS:
-        return df.orderBy(*order).offset(offset).limit(limit)
-    numbered = running_totals(df, order, {"_row": F.lit(1).cast("bigint")})
-    return numbered.filter((F.col("_row") > offset) & (F.col("_row") <= offset + limit)).drop("_row")
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = materialize(df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()), "page")
+    before, starts = 0, {}
+    for row in ranged.groupBy("_part").count().orderBy("_part").collect():   # one row per partition
+        if before < offset + limit and before + row["count"] > offset:
+            starts[row["_part"]] = before
+        before += row["count"]
+    held = ranged.filter(F.col("_part").isin(*starts))
+    known = F.create_map(*[F.lit(x) for pair in starts.items() for x in pair]) if starts else F.lit(None).cast("map<int,int>")
+    row = F.row_number().over(W.partitionBy("_part").orderBy(*order)) + known[F.col("_part")]
+    numbered = held.withColumn("_row", row).filter((F.col("_row") > offset) & (F.col("_row") <= offset + limit))
+    return numbered.orderBy("_row").drop("_row", "_part")
 
 
 def with_total(df: DataFrame, spec: str | list[str], limit: int) -> DataFrame:

@@ -29,5 +29,5 @@ def overlay(base: DataFrame, delta: DataFrame) -> DataFrame:
 def compact(base: DataFrame, delta: DataFrame) -> DataFrame:
     """New base rows of the volumes the delta touches."""
     volumes = delta.select("drive").distinct()
-    touched = base.join(F.broadcast(volumes), "drive", "left_semi")   # at most 26 volumes
+    touched = base.join(volumes, "drive", "left_semi")
     return overlay(touched, delta)

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from arborlake.runtime import exists
+from arborlake.runtime import exists, materialize
 from arborlake.schema import CATALOG_SCHEMA
 
 # Columns of an exported listing that a comparison reads.
@@ -21,6 +21,9 @@ LISTING_SCHEMA = T.StructType([
         "Sparse", "Reparse")],
 ])
 
+#: Column that holds a line which does not fit the schema.
+CORRUPT = "_malformed_line"
+
 
 def write_catalog(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Save a catalog as Parquet, one folder per volume."""
@@ -79,14 +82,27 @@ def union_volumes(volumes: list[DataFrame]) -> DataFrame:
 
 def read_listing(spark: SparkSession, path: str, fmt: str = "csv",
                  schema: T.StructType = LISTING_SCHEMA, sep: str = ",", quote: str = '"') -> DataFrame:
-    """Rows of an exported listing; lines that do not fit the schema are skipped."""
+    """Rows of an exported listing; lines that do not fit the schema are in :func:`malformed_lines`."""
+    return (_listing(spark, path, fmt, schema, sep, quote).filter(F.col(CORRUPT).isNull()).drop(CORRUPT))
+
+
+def malformed_lines(spark: SparkSession, path: str, fmt: str = "csv", schema: T.StructType = LISTING_SCHEMA,
+                    sep: str = ",", quote: str = '"') -> DataFrame:
+    """(line): the text of each line that :func:`read_listing` can't place in the schema."""
+    # Written first: a parser that needs few columns checks those alone.
+    rows = materialize(_listing(spark, path, fmt, schema, sep, quote), "listing")
+    return rows.filter(F.col(CORRUPT).isNotNull()).select(F.col(CORRUPT).alias("line"))
+
+
+def _listing(spark, path, fmt, schema, sep, quote) -> DataFrame:
+    fields = (T._parse_datatype_string(schema) if isinstance(schema, str) else schema).fields
+    full = T.StructType([*fields, T.StructField(CORRUPT, T.StringType())])
+    reader = (spark.read.schema(full).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT))
     if fmt == "json":
-        return spark.read.schema(schema).json(path)
+        return reader.json(path)
     # An escape equal to the quote keeps the backslashes of Windows paths.
-    return (spark.read.schema(schema)
-            .option("header", True).option("sep", sep).option("quote", quote)
-            .option("escape", quote).option("mode", "DROPMALFORMED").option("enforceSchema", True)
-            .csv(path))
+    return (reader.option("header", True).option("sep", sep).option("quote", quote)
+            .option("escape", quote).option("enforceSchema", True).csv(path))
 
 
 def conform(df: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ readers see whole versions and a replayed batch is recognised and skipped.
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field as dc_field
 
@@ -153,9 +154,10 @@ class CatalogStore:
         return self._publish(m)
 
     def _write_base(self, m: Manifest, df: DataFrame, number: int) -> None:
-        folder = f"{self.root}/base/v={number}"
+        # A name of its own for each call: two volumes may be replaced in one batch.
+        folder = f"{self.root}/base/v={number}-{uuid.uuid4().hex}"
         (df.withColumn("block", block_of(F.col("frs"))).repartitionByRange("drive", "frs")
-         .write.mode("overwrite").partitionBy("drive", "block").parquet(folder))
+         .write.mode("errorifexists").partitionBy("drive", "block").parquet(folder))
         fs, jpath = hadoop_fs(self.spark, folder)
         for status in fs.listStatus(jpath):
             name = status.getPath().getName()

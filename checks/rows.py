@@ -87,7 +87,7 @@ def _(spark, sf):
     return id_and(spark, sf, d.name_length("name").alias("n"))
 
 
-@query("b09_path_length", "SELECT drive, frs, CAST(least(length(path), 65535) AS INT) AS n FROM paths")
+@query("b09_path_length", "SELECT drive, frs, CAST(length(path) AS INT) AS n FROM paths")
 def _(spark, sf):
     return id_and(spark, sf, d.path_length("path").alias("n"), paths=True)
 

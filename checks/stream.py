@@ -26,10 +26,10 @@ def base_catalog(spark, sf):
 
 
 _BASE = """
-base AS (SELECT drive, frs, parent_frs, name, size, ext, is_directory FROM catalog
+base AS MATERIALIZED (SELECT drive, frs, parent_frs, name, size, ext, is_directory FROM catalog
   UNION ALL SELECT 'C', frs, CAST(5 AS BIGINT), 'user_' || frs || '.log', frs * 10, 'log', FALSE
   FROM (SELECT DISTINCT user_id AS frs FROM events WHERE user_id % 3 = 0 AND user_id <> 5)),
-planned AS (SELECT n.*, b.frs IS NOT NULL AS live, b.size AS old_size,
+planned AS MATERIALIZED (SELECT n.*, b.frs IS NOT NULL AS live, b.size AS old_size,
   CASE WHEN is_deleted THEN CASE WHEN b.frs IS NOT NULL THEN 'deleted' ELSE 'skipped' END
        WHEN is_created THEN CASE WHEN n.name <> '' THEN 'created' ELSE 'skipped' END
        WHEN is_renamed AND b.frs IS NOT NULL AND n.name <> '' THEN 'renamed' ELSE 'skipped' END AS action
@@ -51,6 +51,10 @@ def _(spark, sf):
     return ch.net_changes(binding.changes(spark, sf))
 
 
+#: Files of a quarter of the journal, read in one micro-batch.
+FILES_PER_PART = 2
+
+
 def change_files(spark, sf, parts=4):
     """Journal in files that arrive one after the other, by sequence number."""
     path = out_path(spark, "journal")
@@ -61,14 +65,14 @@ def change_files(spark, sf, parts=4):
     for i in range(parts):
         low = first + i * step
         part = df.filter((F.col("usn") >= low) & (F.col("usn") < low + step)).select(*wanted)
-        part.coalesce(1).write.mode("append").parquet(path)
+        part.repartition(FILES_PER_PART).write.mode("append").parquet(path)
     return path
 
 
 @query("j03_net_changes_stateful", "SELECT * FROM net")
 def _(spark, sf):
     """The same aggregate over micro-batches in update mode, last update per key."""
-    stream = ch.net_changes(ch.read_changes(spark, change_files(spark, sf), max_files=1))
+    stream = ch.net_changes(ch.read_changes(spark, change_files(spark, sf), max_files=FILES_PER_PART))
     out, points = out_path(spark, "net-updates"), out_path(spark, "points")
 
     def keep(rows, batch):
@@ -105,13 +109,13 @@ def _(spark, sf):
     return store.read().select("drive", "frs", "parent_frs", "name", "size", "ext")
 
 
-@query("j05_overlay_read", f"WITH {_BASE} SELECT drive, frs, parent_frs, name, size, ext FROM applied WHERE drive = 'C'")
+@query("j05_overlay_read", f"WITH {_BASE} SELECT drive, frs, parent_frs, name, size, ext FROM applied")
 def _(spark, sf):
     base = base_catalog(spark, sf)
     net = materialize(ch.net_changes(binding.changes(spark, sf)), "net")
     current = base.join(net.select("drive", "frs"), ["drive", "frs"], "left_semi")
     delta = upkeep.plan_changes(current, net).filter("action <> 'skipped'").withColumn("batch", F.lit(0)).drop("action")
-    return ov.overlay(base.filter("drive = 'C'"), delta).select("drive", "frs", "parent_frs", "name", "size", "ext")
+    return ov.overlay(base, delta).select("drive", "frs", "parent_frs", "name", "size", "ext")
 
 
 @query("j07_cadence_compaction", None)
@@ -119,7 +123,7 @@ def _(spark, sf):
     """Four micro-batches with a compaction after every second one."""
     store = upkeep.CatalogStore(spark, out_path(spark, "store"))
     store.create(base_catalog(spark, sf), {"C": 1})
-    stream = ch.read_changes(spark, change_files(spark, sf), max_files=1)
+    stream = ch.read_changes(spark, change_files(spark, sf), max_files=FILES_PER_PART)
     upkeep.start_upkeep(stream, store, out_path(spark, "points"), trigger=None, compact_every=2).awaitTermination()
     return store.read().select("drive", "frs", "parent_frs", "name", "size", "ext")
 
@@ -137,6 +141,25 @@ def _(spark, sf):
     return store.read().select("drive", "frs", "name")
 
 
+@query("j09_reset_two_volumes", """
+SELECT drive, frs, name FROM catalog WHERE frs % 2 = 0 OR drive NOT IN (SELECT DISTINCT drive FROM catalog ORDER BY drive LIMIT 2)""")
+def _(spark, sf):
+    """Two volumes get new journals in one batch, with Spark's own default of the overwrite mode."""
+    mode = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "static")
+    try:
+        c = cat(spark, sf)
+        two = [r.drive for r in c.rows.select("drive").distinct().orderBy("drive").limit(2).collect()]
+        store = upkeep.CatalogStore(spark, out_path(spark, "store"))
+        store.create(c.rows, {d: 1 for d in two})
+        some = binding.changes(spark, sf).withColumn("journal_id", F.lit(2).cast("bigint"))
+        changes = some.withColumn("drive", F.explode(F.array(*map(F.lit, two))))
+        store.apply_batch(changes, 0, lambda drive: c.rows.filter((F.col("drive") == drive) & (F.col("frs") % 2 == 0)).drop("drive"))
+        return store.read().select("drive", "frs", "name")
+    finally:
+        spark.conf.set("spark.sql.sources.partitionOverwriteMode", mode)
+
+
 @query("source_changes", "SELECT usn, drive, frs, CAST(reason AS BIGINT) AS reason, name FROM changes")
 def _(spark, sf):
     out = out_path(spark, "received")

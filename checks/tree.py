@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from arborlake import Catalog
 from arborlake.operators import diff as df_, hierarchy as h, links
 from arborlake.runtime import materialize
 from arborlake.sources import binding
@@ -17,6 +18,16 @@ def _(spark, sf):
     return cat(spark, sf).with_paths().select("drive", "frs", "path")
 
 
+@query("e01_null_parent", r"""
+SELECT drive, frs, CASE WHEN NOT is_directory AND frs % 1000 = 1 THEN '<unknown:>\' || name ELSE path END AS path FROM paths""")
+def _(spark, sf):
+    """Rows without a parent keep their place in every result with paths."""
+    rows = cat(spark, sf).rows
+    lost = ~F.col("is_directory") & (F.col("frs") % 1000 == 1)
+    rows = rows.withColumn("parent_frs", F.when(~lost, F.col("parent_frs")))
+    return Catalog(rows).with_paths().select("drive", "frs", "path")
+
+
 @query("e02_with_paths_suffix", r"""
 SELECT drive, frs, CASE WHEN frs % 9 = 4 THEN path || ':zone' WHEN is_directory AND frs <> 5 THEN path || '\'
                         ELSE path END AS path FROM paths""")
@@ -173,7 +184,7 @@ def listings(spark, sf):
         "size": F.when(F.col("frs") % 11 == 0, F.col("size") + 1).otherwise(F.col("size")),
         "is_hidden": F.when(F.col("frs") % 23 == 0, ~F.col("is_hidden")).otherwise(F.col("is_hidden"))})
     added = left.filter(F.col("frs") % 13 == 0).withColumn(
-        "path", F.concat(F.lit("Z"), F.substring("path", 2, 10_000)))
+        "path", F.concat(F.lit("Z"), F.substring("path", F.lit(2), F.char_length("path"))))
     return left, kept.unionByName(added)
 
 

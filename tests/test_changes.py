@@ -133,6 +133,21 @@ def test_journal_reset_replaces_the_volume(spark):
         store.apply_batch(spark.createDataFrame([(*r, 3) for r in journal(7, 5)], SCHEMA + ", journal_id long"), 2)
 
 
+def test_two_volumes_may_be_reset_in_one_batch(spark):
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "static")
+    try:
+        store = upkeep.CatalogStore(spark, scratch_path(spark, "store"))
+        store.create(start(spark).unionByName(start(spark).withColumn("drive", F.lit("D"))), {"C": 1, "D": 1})
+        rows = [(*r, 2) for r in journal(6, 20)]
+        rows += [("D", *r[1:]) for r in rows]
+        store.apply_batch(spark.createDataFrame(rows, SCHEMA + ", journal_id long"), 0,
+                          lambda d: start(spark).filter("frs < 110" if d == "C" else "frs < 106").drop("drive"))
+        got = {d: {r["frs"] for r in store.read([d]).collect()} for d in "CD"}
+        assert got == {"C": {5, 20, 100, 102, 104, 106, 108}, "D": {5, 20, 100, 102, 104}}
+    finally:
+        spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+
+
 def test_overlay_takes_the_last_row(spark):
     base = start(spark)
     one = base.filter("frs = 100").withColumns({"name": F.lit("x"), "batch": F.lit(1), "tombstone": F.lit(False)})

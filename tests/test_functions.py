@@ -210,3 +210,15 @@ def test_directory_regex():
 def test_reasons(spark):
     got = column(spark, [0x100, 0x80000202, 0], d.reason_names("v"), "long")
     assert got == ["CREATE", "DELETE+SIZE+CLOSE", "0x00000000"]
+
+
+def test_bulkiness_saturates(spark):
+    top = (1 << 63) - 1
+    rows = [(1, 10**13), (3, 10**13 + 1), (7, 9), (0, 5), (top, top), (1, top), (top, 1), (10**6, top), (10**6 + 1, top)]
+    got = spark.createDataFrame(rows, "l long, a long").select("l", "a", d.bulkiness("l", "a").alias("b")).collect()
+    assert [r.b for r in got] == [min(top, a * 10**6 // l) if l else 0 for l, a in rows]
+
+
+def test_long_paths_keep_their_length(spark):
+    df = spark.createDataFrame([("x" * 70_000,)], "p string")
+    assert df.select(d.path_length("p"), d.path_length("p", legacy_cut=True)).first() == (70_000, 65_535)

@@ -45,9 +45,7 @@ def test_paths_match_a_walk(spark, seed):
     df = frame(spark, records)
     plain = h.build_directories(df)
     assert as_dict(h.with_paths(df, plain), "path") == walk(records)
-    salted = h.build_directories(df, hot_children=3, salts=4)
-    assert salted.hot is not None
-    assert as_dict(h.with_paths(df, salted), "path") == walk(records)
+    assert as_dict(h.with_paths(df, plain, covered=True), "path") == walk(records)
 
 
 def test_deep_chain_and_cycle(spark):
@@ -85,7 +83,7 @@ def subtree(records):
 def test_tree_sums_against_recursion(spark):
     records = random_tree(5)
     df = frame(spark, records)
-    dirs = h.build_directories(df, hot_children=4, salts=3)
+    dirs = h.build_directories(df)
     _, below = subtree(records)
     expected = {}
     for r in records:
@@ -98,7 +96,7 @@ def test_tree_sums_against_recursion(spark):
 def test_bulkiness_sums_against_recursion(spark):
     records = random_tree(6)
     df = frame(spark, records)
-    dirs = h.build_directories(df, hot_children=4, salts=3)
+    dirs = h.build_directories(df)
     sums = h.tree_sums(df, dirs)
     allocated = as_dict(sums, "tree_allocated")
     kids, _ = subtree(records)
@@ -136,7 +134,7 @@ def test_expand_and_first_steps(spark):
 def test_ancestor_and_rollups(spark):
     records = random_tree(9, lost=5)
     df = frame(spark, records)
-    dirs = h.build_directories(df, hot_children=6, salts=2)
+    dirs = h.build_directories(df)
     paths = walk(records)
 
     def key(r, depth):
@@ -193,15 +191,18 @@ def test_refresh_equals_rebuild(spark, seed):
             r = (*r[:3], r[3] + "_new", *r[4:])                 # renamed
         after.append(r)
     new = record(9_001, 5, "found", is_dir=True)                # repairs broken chains
-    after.append(new)
-    changed.append(new)
+    files = [record(9_100, 777_000, "under_unknown"), record(9_101, 9_001, "plain_file"), record(9_102, None, "nowhere")]
+    after += [new, *files]
+    changed += [new, *files]
     now = frame(spark, after)
     refreshed = h.refresh_directories(dirs, now, frame(spark, changed))
-    assert as_dict(h.with_paths(now, refreshed), "path") == walk(after)
+    expected = {k: p for k, p in walk([r for r in after if r[2] is not None]).items()} | {("C", 9_102): "<unknown:>\\nowhere"}
+    assert as_dict(h.with_paths(now, refreshed), "path") == expected
+    assert as_dict(h.with_paths(now, refreshed, covered=True), "path") == expected
     rebuilt = h.build_directories(now)
-    keep = F.col("state") != h.LOST
-    assert as_dict(refreshed.table.filter(keep), "path", "chain", "depth", "state") == as_dict(
-        rebuilt.table.filter(keep), "path", "chain", "depth", "state")
+    columns = ("path", "chain", "depth", "state")
+    assert refreshed.table.count() == rebuilt.table.count()
+    assert as_dict(refreshed.table, *columns) == as_dict(rebuilt.table, *columns)
 
 
 def test_links_and_streams(spark):

@@ -263,13 +263,32 @@ def top_hits(keyed: DataFrame, surviving: DataFrame, keys: list[str], n: int = 2
 
 
 def drilldown(buckets: DataFrame, name: str, scope: list[tuple[str, str, str]] = ()) -> DataFrame:
-    """Add the predicates that select the rows of each bucket."""
+    """Add the predicates that select the rows of each bucket: those of the scope, then the key.
+
+    They are what :func:`filters.where_all` takes.
+    """
     def entry(field_name, op, value: Column) -> Column:
         return F.struct(F.lit(field_name).alias("field"), F.lit(op).alias("op"),
                         value.cast("string").alias("value"))
 
-    fixed = [entry(f, op, F.lit(str(v))) for f, op, v in scope]
-    return buckets.withColumn("drilldown", F.array(*fixed, entry(field(name).name, "eq", F.col("key"))))
+    f = field(name)
+    key = F.col("key")
+    if f.name == "drive":
+        key = F.rtrim(key, F.lit(":"))
+    elif f.kind == "bool":
+        key = key.isin("true", "directory")
+    return buckets.withColumn("drilldown", F.array(*[entry(n, op, F.lit(str(v))) for n, op, v in scope], entry(f.name, "eq", key)))
+
+
+def drilldown_range(buckets: DataFrame, name: str, low: Column, high: Column,
+                    scope: list[tuple[str, str, str]] = ()) -> DataFrame:
+    """Add the predicates of buckets from ``low`` (included) to ``high`` (excluded); a NULL bound is open."""
+    def entry(field_name, op, value: Column) -> Column:
+        return F.struct(F.lit(field_name).alias("field"), F.lit(op).alias("op"), value.cast("string").alias("value"))
+
+    f = field(name)
+    every = F.array(*[entry(n, op, F.lit(str(v))) for n, op, v in scope], entry(f.name, "gte", low), entry(f.name, "lt", high))
+    return buckets.withColumn("drilldown", F.filter(every, lambda e: e["value"].isNotNull()))
 
 
 def key_predicate(name: str, key: str) -> tuple[str, str, object]:

@@ -83,6 +83,8 @@ def _within_budget(table: DataFrame, cols: list[str], max_bytes: int, max_files:
         fits = F.lit(True)
         if left_bytes is not None:
             fits = fits & (F.col("estimate") <= left_bytes)
+        if left_files is not None:
+            fits = fits & (F.col("count") <= left_files)
         candidates = rest.filter(fits)
         totals = materialize(running_totals(
             candidates, [F.col("_seq")], {"_bytes": F.col("estimate"), "_files": F.col("count")}), "budget")
@@ -132,10 +134,14 @@ def verify(group_table: DataFrame, member_rows: DataFrame, contents: DataFrame,
     else:
         table = table.withColumn("affordable", F.lit(True))
     body = F.col("content") if mode == "sha256" else F.substring("content", 1, n_bytes)
-    digests = contents.select("drive", "frs", F.sha2(body, 256).alias("digest"))
     readable = table.filter("affordable").select(*cols)
-    read = (member_rows.join(readable, cols, "left_semi").select("drive", "frs", *cols)
-            .join(digests, ["drive", "frs"], "left"))
+    wanted = member_rows.join(readable, cols, "left_semi").select("drive", "frs", *cols)
+    if max_bytes or max_files:
+        # The budget bounds what is read: other bodies are left out before any is hashed.
+        wanted = materialize(wanted, "wanted")
+        contents = contents.join(wanted.select("drive", "frs").distinct(), ["drive", "frs"], "left_semi")
+    digests = contents.select("drive", "frs", F.sha2(body, 256).alias("digest"))
+    read = wanted.join(digests, ["drive", "frs"], "left")
     seen = read.groupBy(*cols).agg(
         F.min("digest").alias("low"), F.max("digest").alias("high"),
         F.count_if(F.col("digest").isNull()).alias("unreadable"))
@@ -148,8 +154,11 @@ def verify(group_table: DataFrame, member_rows: DataFrame, contents: DataFrame,
 
 
 def verification_summary(verified: DataFrame) -> DataFrame:
-    """Number of groups per outcome and what remains after rejection."""
-    kept = F.col("outcome") != "rejected"
+    """Number of groups per outcome, what remains after rejection, what was read, and whether a budget cut it short."""
+    kept, read = F.col("outcome") != "rejected", F.col("outcome") != "skipped"
+    estimate = F.col("estimate") if "estimate" in verified.columns else F.lit(0)
+    files = F.col("count") if "estimate" in verified.columns else F.lit(0)
+    total = lambda c: F.coalesce(F.sum(F.when(read, c)), F.lit(0)).cast("bigint")
 
     def number(outcome: str):
         return F.count_if(F.col("outcome") == outcome)
@@ -157,4 +166,6 @@ def verification_summary(verified: DataFrame) -> DataFrame:
     return verified.agg(
         number("verified").alias("groups_verified"), number("rejected").alias("groups_rejected"),
         number("skipped").alias("groups_skipped"), number("errored").alias("groups_errored"),
-        F.coalesce(F.sum(F.when(kept, F.col("reclaimable_bytes"))), F.lit(0)).alias("reclaimable_bytes"))
+        F.coalesce(F.sum(F.when(kept, F.col("reclaimable_bytes"))), F.lit(0)).alias("reclaimable_bytes"),
+        total(estimate).alias("bytes_read"), total(files).alias("files_read"),
+        (F.count_if(~read) > 0).alias("budget_exhausted"))

@@ -6,6 +6,7 @@ paths or subtree values need the extra column and are applied after its join.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from datetime import datetime
 
@@ -309,6 +310,8 @@ def predicate(df: DataFrame, name: str, op: str, value, as_of: datetime | None =
         raise ValueError(f"operator {op!r} does not fit field {f.name!r}")
     if f.kind == "timestamp":
         if isinstance(value, str):
+            if as_of is None and not re.match(r"\d{4}-", value):
+                raise ValueError(f"{value!r} is relative to a time: give as_of")
             value = args.time_bound(value, as_of or datetime.max, op in ("gt", "gte"))
         value = F.lit(value).cast("timestamp_ntz")
     return _COMPARE[op](column, value)

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from dataclasses import replace
 from datetime import datetime
+from functools import reduce
 
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from arborlake import Filters
 from arborlake.functions.derive import SIZE_BOUNDS
@@ -286,15 +287,48 @@ def _(spark, sf):
     return flat_samples(out, ["key"]).select("key", "s.rank", "s.name")
 
 
+def round_trip(rows, buckets):
+    """Counts of the rows that each bucket's own predicates select."""
+    parts = []
+    for b in buckets.collect():   # a bucket for each type, flag value, volume or range
+        asked = [(d["field"], d["op"], d["value"]) for d in b["drilldown"]]
+        text = "; ".join(" ".join(p) for p in asked)
+        parts.append(flt.where_all(rows, asked).agg(F.count("*").alias("again")).select(
+            F.lit(b["key"]).cast(buckets.schema["key"].dataType).alias("key"), F.lit(b["count"]).cast("bigint").alias("count"), "again", F.lit(text).alias("predicates")))
+    return reduce(DataFrame.unionAll, parts)
+
+
 @query("f16_drilldown", """
-SELECT type AS key, count(*) AS count, count(*) AS again, 'type eq ' || type AS predicates FROM catalog
+SELECT type AS key, count(*) AS count, count(*) AS again, 'drive eq D; type eq ' || type AS predicates FROM catalog
 WHERE drive = 'D' GROUP BY 1""")
 def _(spark, sf):
-    scope = flt.where_all(cat(spark, sf).rows, [("drive", "eq", "D")])
-    buckets = agg.drilldown(agg.terms(scope, "type", 30, ("count",)), "type")
-    counted = scope.groupBy(agg.group_key(scope, "type").alias("key")).agg(F.count("*").alias("again"))
-    text = F.array_join(F.transform("drilldown", lambda x: F.concat_ws(" ", x["field"], x["op"], x["value"])), "; ")
-    return buckets.select("key", "count", text.alias("predicates")).join(counted, "key")
+    rows, scope = cat(spark, sf).rows, [("drive", "eq", "D")]
+    return round_trip(rows, agg.drilldown(agg.terms(flt.where_all(rows, scope), "type", 30, ("count",)), "type", scope))
+
+
+@query("f16_drilldown_drive", """
+SELECT drive || ':' AS key, count(*) AS count, count(*) AS again, 'drive eq ' || drive AS predicates FROM catalog GROUP BY drive""")
+def _(spark, sf):
+    rows = cat(spark, sf).rows
+    return round_trip(rows, agg.drilldown(agg.rollup_drive(rows), "drive"))
+
+
+@query("f16_drilldown_flag", """
+SELECT key, count(*) AS count, count(*) AS again, 'hidden eq ' || key AS predicates
+FROM (SELECT CASE WHEN flags & 2 <> 0 THEN 'true' ELSE 'false' END AS key FROM catalog) GROUP BY key""")
+def _(spark, sf):
+    rows = cat(spark, sf).rows
+    return round_trip(rows, agg.drilldown(agg.terms(rows, "hidden", None, ("count",)), "hidden"))
+
+
+@query("f16_drilldown_range", """
+SELECT b AS key, count(*) AS count, count(*) AS again, 'drive eq D; size gte ' || b || '; size lt ' || (b + 1000000) AS predicates
+FROM (SELECT size // 1000000 * 1000000 AS b FROM catalog WHERE drive = 'D') GROUP BY b ORDER BY b LIMIT 12""")
+def _(spark, sf):
+    rows, scope = cat(spark, sf).rows, [("drive", "eq", "D")]
+    low = F.expr("size div 1000000 * 1000000")
+    buckets = flt.where_all(rows, scope).groupBy(low.alias("key")).agg(F.count("*").alias("count")).orderBy("key").limit(12)
+    return round_trip(rows, agg.drilldown_range(buckets, "size", F.col("key"), F.col("key") + 1_000_000, scope))
 
 
 # ---------------------------------------------------------------- duplicates
@@ -379,7 +413,8 @@ def _(spark, sf):
 @query("f19_verify_summary", f"""
 SELECT count(*) FILTER (WHERE bodies = 1) AS groups_verified, count(*) FILTER (WHERE bodies > 1) AS groups_rejected,
   CAST(0 AS BIGINT) AS groups_skipped, CAST(0 AS BIGINT) AS groups_errored,
-  CAST(coalesce(sum(reclaimable_bytes) FILTER (WHERE bodies = 1), 0) AS BIGINT) AS reclaimable_bytes FROM ({_WHOLE})""")
+  CAST(coalesce(sum(reclaimable_bytes) FILTER (WHERE bodies = 1), 0) AS BIGINT) AS reclaimable_bytes,
+  CAST(sum(estimate) AS BIGINT) AS bytes_read, CAST(sum(count) AS BIGINT) AS files_read, FALSE AS budget_exhausted FROM ({_WHOLE})""")
 def _(spark, sf):
     return dup.verification_summary(verified(spark, sf))
 
@@ -395,6 +430,17 @@ def _(spark, sf):
     return verified(spark, sf, max_bytes=200_000).select("k_size", "outcome")
 
 
+@query("f19_verify_budget_files", f"""
+WITH RECURSIVE g AS (SELECT *, row_number() OVER (ORDER BY reclaimable_bytes DESC, k_size) AS seq FROM ({_WHOLE})),
+walk AS (SELECT CAST(0 AS BIGINT) AS seq, CAST(9 AS BIGINT) AS left_files, CAST(0 AS BIGINT) AS k_size, FALSE AS taken
+  UNION ALL SELECT g.seq, CASE WHEN g.count <= w.left_files THEN w.left_files - g.count ELSE w.left_files END, g.k_size,
+    g.count <= w.left_files FROM walk w JOIN g ON g.seq = w.seq + 1)
+SELECT g.k_size, CASE WHEN NOT w.taken THEN 'skipped' WHEN g.bodies = 1 THEN 'verified' ELSE 'rejected' END AS outcome
+FROM g JOIN walk w ON w.seq = g.seq""")
+def _(spark, sf):
+    return verified(spark, sf, max_files=9).select("k_size", "outcome")
+
+
 # ---------------------------------------------------------------- presets
 
 def preset(key, name, label, sql):

@@ -300,6 +300,10 @@ def predicate(df: DataFrame, name: str, op: str, value, as_of: datetime | None =
     if not f.filterable:
         raise ValueError(f"field {f.name!r} cannot be filtered")
     column = derive.field_column(df, f.name)
+    if f.name == "extension" and op in ("eq", "ne", "in", "not_in"):
+        # Extensions are lower-case, so the stored column itself is compared and the scan can use it.
+        values = [v.lower() for v in ([value] if isinstance(value, str) else value)]
+        return column.isin(*values) if op in ("eq", "in") else ~column.isin(*values)
     if f.kind in ("string", "enum"):
         return _string_predicate(column, op, value)
     if op == "in":

@@ -16,6 +16,8 @@ from arborlake.runtime import materialize
 from arborlake.schema import LAST_RESERVED_FRS, ROOT_FRS, ROOT_IDS
 
 KEY = ["drive", "frs"]
+#: Stands for a NULL parent in the directory table; record ids are not negative.
+NO_PARENT = -1
 OK, BROKEN, CYCLIC, LOST, OPEN = "ok", "broken", "cyclic", "lost", "open"
 
 
@@ -26,23 +28,20 @@ class Directories:
     table: DataFrame
 
     def join_parent(self, rows: DataFrame, lookup: DataFrame, how: str = "left") -> DataFrame:
-        """Join rows to ``lookup``, which has one row per (drive, parent_frs); a NULL parent meets a NULL one.
+        """Join rows to ``lookup``, which has one row per (drive, parent_frs).
 
-        Both sides are plain exchanges, so adaptive execution splits the rows of a directory that directly holds
-        a large share of all rows.
+        Adaptive execution splits the rows of a directory that directly holds a large share of all rows.
         """
-        found = lookup.withColumnsRenamed({"drive": "_drive", "parent_frs": "_parent_frs"})
-        same = (rows["drive"] == found["_drive"]) & rows["parent_frs"].eqNullSafe(found["_parent_frs"])
-        return rows.join(found, same, how).drop("_drive", "_parent_frs")
+        return rows.join(lookup, ["drive", "parent_frs"], how)
 
 
 def build_directories(df: DataFrame) -> Directories:
     """Directory table of a catalog.
 
-    Parents that rows name but that have no row are in the table too, the NULL parent among them, so every
+    Parents that rows name but that have no row are in the table too, the NULL parent as NO_PARENT, so every
     row finds its parent.
     """
-    named = df.select("drive", F.col("parent_frs").alias("frs")).distinct()
+    named = df.select("drive", _parent_key().alias("frs")).distinct()
     table = directory_table(df)
     lost = named.join(table.select(KEY), KEY, "left_anti")
     return Directories(materialize(table.unionByName(_lost_rows(lost)), "directories"))
@@ -61,9 +60,14 @@ def _lost_rows(keys: DataFrame) -> DataFrame:
         F.col("frs").alias("top"), F.lit(False).alias("bad_name"))
 
 
+def _parent_key() -> Column:
+    return F.coalesce("parent_frs", F.lit(NO_PARENT).cast("bigint"))
+
+
 def _unknown(frs: str) -> Column:
-    """Path that stands for a parent without a record; the id is empty if it is NULL."""
-    return F.concat(F.lit("<unknown:"), F.coalesce(F.col(frs).cast("string"), F.lit("")), F.lit(">\\"))
+    """Path that stands for a parent without a record; the id is empty if there is none."""
+    known = F.when(F.col(frs) != NO_PARENT, F.col(frs).cast("string"))
+    return F.concat(F.lit("<unknown:"), F.coalesce(known, F.lit("")), F.lit(">\\"))
 
 
 def _joined(head: Column, tail: Column) -> Column:
@@ -184,12 +188,11 @@ def refresh_directories(old: Directories, df: DataFrame, changed: DataFrame) ->
     moved = df.filter("is_directory").join(affected, KEY, "left_semi")
     table = _finished(_resolve(_start(moved), settled).unionByName(settled))
     # Lost before, deleted by the change, or first named by a changed row; and named by some row now.
-    parents = df.select("drive", F.col("parent_frs").alias("frs"))
-    named = df.join(changed.select(KEY), KEY, "left_semi").select("drive", F.col("parent_frs").alias("frs"))
+    parents = df.select("drive", _parent_key().alias("frs"))
+    named = df.join(changed.select(KEY), KEY, "left_semi").select("drive", _parent_key().alias("frs"))
     maybe = (old.table.filter(F.col("state") == LOST).select(KEY).unionByName(changed.select(KEY)).unionByName(named)
              .distinct().join(table.select(KEY), KEY, "left_anti"))
-    same = (maybe["drive"] == parents["drive"]) & maybe["frs"].eqNullSafe(parents["frs"])
-    lost = maybe.join(parents, same, "left_semi")
+    lost = maybe.join(parents, KEY, "left_semi")
     return Directories(materialize(table.unionByName(_lost_rows(lost)), "directories"))
 
 
@@ -228,7 +231,11 @@ def with_paths(df: DataFrame, dirs: Directories, dir_suffix: bool = False, cover
     a table that holds all these rows; every row then finds its parent, a NULL one too,
     and an inner join lets a short result be the broadcast side instead of the table.
     """
-    joined = _with_parent(df, dirs, "path", how="inner" if covered else "left")
+    if covered:
+        found = dirs.table.select("drive", F.col("frs").alias("_parent"), F.col("path").alias("p_path"))
+        joined = df.withColumn("_parent", _parent_key()).join(found, ["drive", "_parent"], "inner")
+    else:
+        joined = _with_parent(df, dirs, "path")
     path = _path_expr(F.coalesce("name", F.lit("")))
     if dir_suffix:
         stream = F.coalesce(F.col("stream_name"), F.lit("")) if "stream_name" in df.columns else F.lit("")

@@ -77,9 +77,12 @@ def page(df: DataFrame, spec: str | list[str], limit: int, offset: int = 0) -> D
 def page_by(df: DataFrame, order: list[Column], limit: int, offset: int = 0) -> DataFrame:
     """Rows offset .. offset+limit of a total order.
 
-    Rows are range partitioned and counted per partition; only the partitions that hold
-    the page are sorted and numbered, so nothing before it passes through a task.
+    Without an offset that is a bounded top-n. Otherwise rows are range partitioned and counted
+    per partition; only the partitions that hold the page are sorted and numbered, so nothing
+    before it passes through a task.
     """
+    if not offset:
+        return df.orderBy(*order).limit(limit)
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = materialize(df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()), "page")

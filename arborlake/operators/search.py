@@ -65,14 +65,22 @@ def name_condition(df: DataFrame, pattern: str, case_sensitive: bool, whole_word
         return patterns.named(F.col("name")) & patterns.regex(F.col("name"), pattern[1:], case_sensitive)
     if pattern in ("", "*"):
         return F.lit(True)
-    extension = re.fullmatch(r"\*\.([A-Za-z0-9_~]+)", pattern)
     condition = patterns.name_matches(F.col("name"), pattern, case_sensitive, whole_word)
+    extension = _fixed_extension(pattern, whole_word)
     if extension and not case_sensitive:
-        # The stored extension decides for most files and prunes row groups.
-        condition = condition & (derive.field_column(df, "extension") == extension[1].lower())
+        # The stored extension reaches the scan, decides for most files and prunes row groups.
+        condition = condition & (derive.field_column(df, "extension") == extension)
     return condition
 
 
+def _fixed_extension(pattern: str, whole_word: bool) -> str | None:
+    """The extension of every name that the pattern can match, if it has the whole name's end in plain letters."""
+    if not whole_word and "*" not in pattern and "?" not in pattern or "|" in pattern:
+        return None
+    end = re.fullmatch(r"[^\\/]+\.([A-Za-z0-9_~]+)", pattern)
+    return end[1].lower() if end else None
+
+
 def search_path(df: DataFrame, dirs: Directories, pattern: str) -> DataFrame:
     """Path pattern such as ``\\nation\\**\\*.pdf``.
 

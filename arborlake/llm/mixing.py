@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from arborlake.runtime import materialize
 
 #: Words and documents of a block on average, and block draws of a shard.
-BLOCK_WORDS, BLOCK_DOCS, SHARD_DRAWS = 200_000, 5_000, 32
+BLOCK_WORDS, BLOCK_DOCS, SHARD_DRAWS = 200_000, 5_000, 8
 WORD = r"[^\x20\x09-\x0D]+"
 
 

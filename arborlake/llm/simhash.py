@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import itertools
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from arborlake.llm.common import LOWER, byte_rows, shuffle_partitions
 from arborlake.llm.components import components
@@ -38,19 +38,20 @@ def fingerprint(text: bytes | None, words: int = 3, seed: int = 42) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42, id_col: str = "doc_id",
-                 text_col: str = "text") -> DataFrame:
-    """Rows (id, fingerprint) of all rows of ``docs``; a null text counts as empty."""
+def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text",
+                 key: Column | None = None) -> DataFrame:
+    """Rows (id, key, fingerprint) of all rows of ``docs``; a null text counts as empty, ``key`` is the id if not given."""
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             prints = [fingerprint(text, words, seed) for _, text in byte_rows([batch], "id", "text")]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(prints, pa.int64())],
-                                             names=["id", "fingerprint"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), pa.array(prints, pa.int64())],
+                                             names=["id", "key", "fingerprint"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "id long, fingerprint long")
+    ids = F.col(id_col).cast("long")
+    rows = docs.select(ids.alias("id"), (ids if key is None else key).alias("key"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, "id long, key long, fingerprint long")
 
 
 def _offsets(parts: int, radius: int) -> list[tuple[int, ...]]:
@@ -201,8 +202,10 @@ def near_duplicates(docs: DataFrame, radius: int = 3, words: int = 3, seed: int
     prints = materialize(fingerprints(docs, words, seed, id_col, text_col), "prints")
     distinct = prints.groupBy("fingerprint").agg(F.min("id").alias("node"))
     found = components(links(distinct.filter("node is not null"), radius), "a", "b")
-    placed = (distinct.join(found, "node", "left")
-              .select("fingerprint", F.coalesce("component", "node").alias("component_id")))
+    # Written, so that the join below has a plain exchange on both sides and adaptive execution can split the rows
+    # of a fingerprint that a large share of all texts have.
+    placed = materialize(distinct.join(found, "node", "left")
+                         .select("fingerprint", F.coalesce("component", "node").alias("component_id")), "placed")
     return (prints.join(placed, "fingerprint")
             .select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"),
                     "component_id"))
@@ -215,14 +218,16 @@ def deduplicated(docs: DataFrame, radius: int = 3, words: int = 3, seed: int = 4
     Of rows with equal ids in a group the one with the least hash of id and text stays, of repeated rows one.
     """
     key = F.xxhash64(F.col(id_col), F.col(text_col))
-    keyed = docs.select(F.col(id_col).cast("long").alias("doc"), key.alias("key"), F.col(text_col).alias("text"))
-    found = near_duplicates(keyed, radius, words, seed, "key", "text").select("key", "component_id")
-    ids = keyed.select("doc", "key").distinct()
-    kept = (found.distinct().join(ids, "key").groupBy("component_id")
-            .agg(F.min(F.struct(F.col("doc").isNull(), "doc", "key")).alias("least")).select(F.col("least.key").alias("kept_key")))
+    prints = materialize(fingerprints(docs, words, seed, id_col, text_col, key), "prints")
+    order = F.struct(F.col("id").isNull(), "id", "key")
+    # Copies are combined before the exchange, so no step sees all rows of a large group.
+    distinct = materialize(prints.groupBy("fingerprint").agg(F.min(order).alias("least"), F.min("key").alias("node")), "distinct")
+    found = components(links(distinct.select("fingerprint", "node"), radius), "a", "b")
+    kept = (distinct.join(found, "node", "left").groupBy(F.coalesce("component", "node"))
+            .agg(F.min("least").alias("least")).select(F.col("least.key").alias("kept_key")))
     kept = materialize(kept, "kept")
     out = docs.join(kept, key == F.col("kept_key"), "left_semi")
-    if found.groupBy("key").count().filter("count > 1").join(kept, F.col("key") == F.col("kept_key")).limit(1).count():
-        named = out.withColumn("_kept_key", key)
-        out = named.dropDuplicates(["_kept_key"]).drop("_kept_key")
+    repeated = prints.groupBy("key").count().filter("count > 1").join(kept, F.col("key") == F.col("kept_key"))
+    if repeated.limit(1).count():
+        out = out.withColumn("_kept_key", key).dropDuplicates(["_kept_key"]).drop("_kept_key")
     return out

@@ -219,6 +219,20 @@ def _regression(rows: list[tuple[list[int], int]], size: int, rounds: int = 400,
     return w.tolist(), float(b)
 
 
+def _distinct(texts: DataFrame) -> DataFrame:
+    """Of near copies in a sample one each, as the rare words of many copies would pass for proof.
+
+    Copies share the least hash of their long words with a chance near to their likeness. Of three such hashes
+    two agree for nearly all near copies and hardly ever for other texts.
+    """
+    words = F.filter(F.split(F.lower("text"), r"\s+"), lambda w: F.length(w) >= 7)
+    hashed = lambda k: F.coalesce(F.array_min(F.transform(words, lambda w: F.xxhash64(w, F.lit(k)))), F.xxhash64("text", F.lit(k)))
+    for pair in ((0, 1), (0, 2), (1, 2)):
+        least = F.xxhash64(*map(hashed, pair))
+        texts = texts.groupBy("label", least.alias("least")).agg(F.min(F.struct("id", "text")).alias("row")).select("row.id", "label", "row.text")
+    return texts
+
+
 def _proof(one: int, zero: int, prior: float) -> float | None:
     """Share of ones among texts with a feature, if that alone shows a text to be toxic beyond chance.
 
@@ -247,8 +261,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
               .agg(F.max(label_col).cast("int").alias("label")).orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS))
     # The sample has SAMPLE_ROWS rows of two numbers at most.
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id")
-    # A label is that of an id: of rows with equal ids one is enough.
-    texts = materialize(texts.select("id", "label", "text"), "labelled").repartition(shuffle_partitions(spark))
+    texts = materialize(texts.select("id", "label", "text"), "labelled")
+    # Copies teach the weights, but only different texts are proof.
+    single = materialize(_distinct(texts).select("id").distinct(), "distinct").withColumn("single", F.lit(True))
+    texts = texts.join(single, "id", "left").withColumn("single", F.coalesce("single", F.lit(False)))
+    texts = materialize(texts.repartition(shuffle_partitions(spark)), "sample")
     shared = spark.sparkContext.broadcast(costs)
 
     def count(batches):
@@ -276,8 +293,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
               .filter(F.col("one") + F.col("zero") >= 3)
               .withColumn("gain", odds * F.sqrt(F.col("one") + F.col("zero")))
               .filter(odds > 1.5).orderBy(F.desc("gain"), "feature").limit(FEATURES))
-    counts = {r.feature: (r.one, r.zero) for r in chosen.select("feature", "one", "zero").collect()}
-    names = sorted(counts)
+    names = sorted(r.feature for r in chosen.select("feature").collect())
     number = {f: i for i, f in enumerate(names)}
     probe = spark.sparkContext.broadcast(Model(costs, dict.fromkeys(names, 0.0), 0.0))
 
@@ -286,14 +302,20 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
         for batch in batches:
             rows = [sorted(number[f] for f in probe.value.present(t)) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("id").cast(pa.string()), batch.column("label"), pa.array(rows, pa.list_(pa.int32()))],
-                                             names=["id", "label", "present"])
+            yield pa.RecordBatch.from_arrays([batch.column("id").cast(pa.string()), batch.column("label"), batch.column("single"), pa.array(rows, pa.list_(pa.int32()))],
+                                             names=["id", "label", "single", "present"])
 
-    rows = texts.mapInArrow(reduce, "id string, label int, present array<int>").toArrow().to_pylist()
+    rows = texts.mapInArrow(reduce, "id string, label int, single boolean, present array<int>").toArrow().to_pylist()
     rows.sort(key=lambda r: (r["id"], r["present"]))
     weights, bias = _regression([(r["present"], int(r["label"] > 0)) for r in rows], len(names))
-    for i, name in enumerate(names):
-        if (share := _proof(*counts[name], ones / every)) is not None:
+    alone = [r for r in rows if r["single"]]
+    prior = sum(r["label"] > 0 for r in alone) / max(1, len(alone))
+    counts = [[0, 0] for _ in names]
+    for r in alone:
+        for i in r["present"]:
+            counts[i][r["label"] <= 0] += 1
+    for i, (one, zero) in enumerate(counts):
+        if one and 0 < prior < 1 and (share := _proof(one, zero, prior)) is not None:
             weights[i] = max(weights[i], math.log(share / (1 - share)) - bias)
     return Model(costs, dict(zip(names, weights)), bias)
 

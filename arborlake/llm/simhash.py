@@ -223,6 +223,11 @@ def deduplicated(docs: DataFrame, radius: int = 3, words: int = 3, seed: int = 4
     # Copies are combined before the exchange, so no step sees all rows of a large group.
     distinct = materialize(prints.groupBy("fingerprint").agg(F.min(order).alias("least"), F.min("key").alias("node")), "distinct")
     found = components(links(distinct.select("fingerprint", "node"), radius), "a", "b")
+    return least_of_groups(docs, prints, distinct, found, key)
+
+
+def least_of_groups(docs: DataFrame, prints: DataFrame, distinct: DataFrame, found: DataFrame, key: Column) -> DataFrame:
+    """The row of ``docs`` that each component keeps: ``distinct`` has rows (node, least), ``found`` (node, component)."""
     kept = (distinct.join(found, "node", "left").groupBy(F.coalesce("component", "node"))
             .agg(F.min("least").alias("least")).select(F.col("least.key").alias("kept_key")))
     kept = materialize(kept, "kept")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from arborlake.llm import cotraining, decontaminate, htmltext, mixing, secrets, simhash, tokenstore, toxicity, urltree, winnow
+from arborlake.llm import cotraining, covertree, decontaminate, htmltext, mixing, secrets, shallot, simhash, tokenstore, toxicity, urltree, winnow
 from arborlake.llm.common import ship, table
 from arborlake.runtime import scratch_path
 
@@ -170,3 +170,17 @@ RULES = (urltree.Rule("block", "com", "/en/"), urltree.Rule("allow", "example.co
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = urltree.judge(table(spark, sf_dir, "pages"), RULES)
     return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op13_centroid_clustering", shallot.reference_sql())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = shallot.clusters(table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia",
+                        shallot.centroid_digest("centroid").alias("centroid_sha256"))
+
+
+@query("op12_hard_negative_mining", covertree.REFERENCE_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return covertree.hard_negatives(rows, F.col("vec_id") % 100 == 0, label)

@@ -73,6 +73,15 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(jpath)
 
 
+def drop_written(df: DataFrame) -> None:
+    """Delete the folder of a table that ``materialize`` wrote and nothing reads any more; others stay."""
+    root = scratch_root(df.sparkSession)
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        fs, jpath = hadoop_fs(df.sparkSession, folder)
+        if jpath.toUri().getPath().startswith(hadoop_fs(df.sparkSession, root)[1].toUri().getPath() + "/"):
+            fs.delete(jpath, True)
+
+
 def running_totals(df: DataFrame, order: list[Column], totals: dict[str, Column],
                    partitions: int | None = None) -> DataFrame:
     """Add running totals over a total order without one task seeing all rows.

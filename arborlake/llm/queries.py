@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from arborlake.llm import cotraining, covertree, decontaminate, htmltext, mixing, secrets, shallot, simhash, tokenstore, toxicity, urltree, winnow
+from arborlake.llm import chosenpath, cotraining, covertree, decontaminate, htmltext, mixing, secrets, shallot, simhash, tokenstore, toxicity, urltree, winnow
 from arborlake.llm.common import ship, table
 from arborlake.runtime import scratch_path
 
@@ -184,3 +184,28 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return covertree.hard_negatives(rows, F.col("vec_id") % 100 == 0, label)
+
+
+OP11_SQL = """
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, string_split_regex(trim(translate(coalesce(text, ''),
+             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), E'\\x20\\x09\\x0A\\x0B\\x0C\\x0D'), '[\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT r, doc_id, CASE WHEN w = [''] THEN CAST([] AS VARCHAR[]) WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+             ELSE list_sort(list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)])) END AS g FROM d),
+k AS MATERIALIZED (SELECT r, doc_id, g, len(g) AS n, CASE WHEN len(g) = 0 THEN 'none ' || r ELSE md5(array_to_string(g, chr(10))) END AS k FROM s),
+u AS MATERIALIZED (SELECT k, min(r) AS r, any_value(n) AS n FROM k WHERE n > 0 GROUP BY k),
+p AS (SELECT u.r, u.n, unnest(k.g) AS g FROM u JOIN k USING (r)),
+l AS MATERIALIZED (SELECT a.r AS a, b.r AS b FROM p a JOIN p b ON a.g = b.g AND a.r < b.r AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+      GROUP BY a.r, b.r HAVING 100 * count(*) >= 85 * (any_value(a.n) + any_value(b.n) - count(*))),
+e AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach(a, b) AS (SELECT a, a FROM (SELECT DISTINCT a FROM e) UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a),
+c AS (SELECT u.k, coalesce(min(reach.b), u.r) AS c FROM u LEFT JOIN reach ON u.r = reach.a GROUP BY u.k, u.r),
+m AS (SELECT c.c, min(doc_id) AS component_id FROM k JOIN c USING (k) GROUP BY c.c)
+SELECT k.doc_id, CAST(k.n AS BIGINT) AS n_shingles, coalesce(m.component_id, k.doc_id) AS component_id,
+       coalesce(k.doc_id = coalesce(m.component_id, k.doc_id), FALSE) AS kept
+FROM k LEFT JOIN c USING (k) LEFT JOIN m USING (c)
+"""
+
+
+@query("op11_minhash_near_dedup", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosenpath.near_duplicates(table(spark, sf_dir, "documents"))

@@ -15,14 +15,14 @@ from arborlake.llm.common import shuffle_partitions
 from arborlake.llm.vectors import lists, pack, quantized, unpack, usable
 from arborlake.runtime import drop_written, materialize
 
-#: Rows of a leaf, and children of a node at most.
-LEAF, FAN = 64, 32
+#: Rows up to which a node is a leaf, and children of a node at most.
+LEAF, FAN = 192, 32
 #: Rows from which the pivots of regions are chosen; it decides about speed only.
 PIVOT_SAMPLE, PIVOTS = 4096, 512
-#: Windows that are searched together, and leaves that each of them takes at once.
-BLOCK, WIDTH = 256, 8
+#: Windows that are searched together, and leaves that each of them takes at first; each time it takes twice as many.
+BLOCK, WIDTH = 1024, 4
 #: Open ends of a window.
-LOW, HIGH = -(1 << 62), 1 << 62
+LOW, HIGH = -(1 << 61), 1 << 61
 
 
 def augmented(x, largest):
@@ -36,8 +36,9 @@ def augmented(x, largest):
 class Tree:
     """Cover tree over a block of rows, as arrays with a row for each node; a child comes after its parent.
 
-    Centres of a node's children are taken farthest first until the rest is covered within half the node's radius
-    (or FAN of them are taken), so they lie apart by more than they cover; a centre is its own first child.
+    As centres of a node's children rows are taken that none so far covers within half the node's radius, until all rows are
+    covered (or there are as many as leaves are needed, FAN at most), so centres lie farther apart than that; a
+    row goes to its nearest centre, a node's own centre is its first child, and radii are those really needed.
     """
 
     def __init__(self, points):
@@ -54,11 +55,13 @@ class Tree:
                 continue
             rows = self.order[a:b]
             nearest, owner, centres = away.copy(), np.zeros(b - a, np.int64), [centre[node]]
-            while len(centres) < FAN and (far := int(nearest.argmax())) >= 0 and nearest[far] > radius[node] / 2:
-                d = self._distance(points, rows, rows[far])
+            fan = min(FAN, max(2, -(-(b - a) // LEAF)))
+            while len(centres) < fan and len(bare := np.flatnonzero(nearest > radius[node] / 2)):
+                one = rows[bare[len(bare) // 2]]
+                d = self._distance(points, rows, one)
                 closer = d < nearest
                 owner[closer], nearest[closer] = len(centres), d[closer]
-                centres.append(int(rows[far]))
+                centres.append(int(one))
             by = np.argsort(owner, kind="stable")
             self.order[a:b], nearest, owner = rows[by], nearest[by], owner[by]
             first = len(centre)
@@ -122,14 +125,6 @@ class Searcher:
         self.floats = self.x.astype(float) if self.exact else None
         self.visited = 0
         self._levels = list(self.tree.levels())
-        self.leaves = np.flatnonzero(self.tree.leaf[:, 1] > self.tree.leaf[:, 0])
-
-    def products(self, anchors, a, b):
-        import numpy as np
-
-        if self.exact:
-            return np.rint(anchors.astype(float) @ self.floats[a:b].T).astype(np.int64)
-        return anchors @ self.x[a:b].T
 
     def search(self, anchors, of, low, high, same, k):
         """For each window (anchor number, low, high) the first ``k`` rows of the anchor's label (or of others) in it.
@@ -139,8 +134,9 @@ class Searcher:
         import numpy as np
 
         rows, labels, v = anchors
-        w = len(of)
-        tree, floats = self.tree, v.astype(float)
+        w, tree = len(of), self.tree
+        floats = v.astype(float)
+        products = (lambda mine, a, b: np.rint(floats[mine] @ self.floats[a:b].T)) if self.exact else (lambda mine, a, b: v[mine] @ self.x[a:b].T)
         alive = np.ones((w, 1), bool)
         held_leaves, held_top = [], []
         for level in self._levels:
@@ -151,16 +147,14 @@ class Searcher:
             held_top.append(np.where(alive[:, ends], top[:, ends], -np.inf))
             fan = tree.child[level, 1] - tree.child[level, 0]
             alive = np.repeat(alive, fan, axis=1)
-        leaf, top = np.concatenate(held_leaves), np.concatenate(held_top, axis=1)
-        worst = np.full(w, -np.inf)
+        leaf, top = tree.leaf[np.concatenate(held_leaves)], np.concatenate(held_top, axis=1)
+        floor = low.copy()
         best = tuple(np.zeros(0, np.int64) for _ in range(3))
-        while True:
-            top[top < worst[:, None]] = -np.inf
-            if not np.isfinite(top).any():
-                return best
-            take = np.argpartition(-top, WIDTH - 1, axis=1)[:, :WIDTH] if top.shape[1] > WIDTH else np.tile(np.arange(top.shape[1]), (w, 1))
-            good = np.isfinite(np.take_along_axis(top, take, 1))
-            who, where = np.nonzero(good)
+        width = WIDTH
+        while (top > -np.inf).any():
+            # Each window takes its leaves with the highest bounds; windows that want the same leaf are verified together.
+            take = np.argpartition(-top, width - 1, axis=1)[:, :width] if top.shape[1] > width else np.broadcast_to(np.arange(top.shape[1]), top.shape)
+            who, where = np.nonzero(np.take_along_axis(top, take, 1) > -np.inf)
             node = take[who, where]
             top[who, node] = -np.inf
             by = np.argsort(node, kind="stable")
@@ -168,26 +162,28 @@ class Searcher:
             cuts = np.flatnonzero(np.diff(node, prepend=-1))
             found = [best]
             for i, j in zip(cuts, [*cuts[1:], len(node)]):
-                a, b = tree.leaf[leaf[node[i]]]
+                a, b = leaf[node[i]]
                 windows = who[i:j]
                 mine, back = np.unique(of[windows], return_inverse=True)
-                scores = self.products(v[mine], a, b)[back]
+                scores = products(mine, a, b)
                 self.visited += scores.size
-                fits = (scores >= np.maximum(low, np.maximum(worst, LOW))[windows, None]) & (scores <= high[windows, None])
-                match = self.labels[None, a:b] == labels[of[windows], None]
-                fits &= match if same else ~match
+                match = self.labels[None, a:b] == labels[mine, None]
                 if same:
-                    fits &= self.rows[None, a:b] != rows[of[windows], None]
-                x, y = np.nonzero(fits)
-                found.append((windows[x], y + a, scores[x, y]))
+                    match &= self.rows[None, a:b] != rows[mine, None]
+                scores = np.where(match if same else ~match, scores, LOW - 1)[back]
+                x, y = np.nonzero((scores >= floor[windows, None]) & (scores <= high[windows, None]))
+                found.append((windows[x], y + a, scores[x, y].astype(np.int64)))
             win, at, score = (np.concatenate(c) for c in zip(*found))
             order = np.lexsort((self.rows[at], self.ids[at], ~self.known[at], -score, win))
             win, at, score = win[order], at[order], score[order]
             starts = np.flatnonzero(np.diff(win, prepend=-1))
             rank = np.arange(len(win)) - np.repeat(starts, np.diff([*starts, len(win)]))
             full = rank == k - 1
-            worst[win[full]] = score[full]
+            floor[win[full]] = np.maximum(floor[win[full]], score[full])
             best = win[rank < k], at[rank < k], score[rank < k]
+            top[top < floor[:, None]] = -np.inf
+            width *= 2
+        return best
 
 
 _HITS = "anchor long, window int, row long, id long, score long"

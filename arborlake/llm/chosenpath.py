@@ -10,13 +10,14 @@ are confirmed on whole sets.
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import DataFrame, functions as F
 
 from arborlake.llm.common import byte_rows, shuffle_partitions
 from arborlake.llm.components import components
-from arborlake.llm.shinglesets import confirmed, set_key, shingles, spread
+from arborlake.llm.shinglesets import confirmed, set_key, shingles, text_rows, tile_forests
 from arborlake.runtime import materialize
 
 #: Minwise functions; two bits of each value make the sketch, four longs of 64 bits.
@@ -67,17 +68,18 @@ def most_mismatches(share: float) -> int:
     return math.floor(FUNCTIONS * p + DEVIATIONS * math.sqrt(FUNCTIONS * p * (1 - p)))
 
 
-def near_sketches(s, n, share: tuple[int, int]):
-    """Test of ``shinglesets.spread`` for sketches ``s`` (four columns) and set sizes ``n``."""
+def near_sketches(n, *s, share: tuple[int, int]):
+    """Test of ``shinglesets.spread`` for set sizes ``n`` and the four columns of sketches."""
     import numpy as np
 
     up, down = share
     most, low = most_mismatches(up / down), np.uint64(_LOW_BITS)
+    s = [c.view(np.uint64) for c in s]
 
     def near(a, b):
         differ = np.zeros((len(a), len(b)), np.uint8)
         for c in range(4):
-            x = s[a, c][:, None] ^ s[b, c][None, :]
+            x = s[c][a][:, None] ^ s[c][b][None, :]
             differ += np.bitwise_count((x | (x >> np.uint64(1))) & low)
         x, y = n[a][:, None], n[b][None, :]
         return (differ <= most) & (np.minimum(x, y) * down >= np.maximum(x, y) * up)
@@ -113,78 +115,6 @@ def _prints(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFram
         run, "id long, key1 long, key2 long, set1 long, set2 long, n long, mins array<int>, s0 long, s1 long, s2 long, s3 long")
 
 
-def text_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows (id, key1, key2, text); the keys, 128 bits, stand for id and text."""
-    ids, text = F.col(id_col).cast("long"), F.col(text_col)
-    return docs.select(ids.alias("id"), F.xxhash64(ids, text).alias("key1"), F.xxhash64(F.lit("text"), text, ids).alias("key2"),
-                       text.alias("text"))
-
-
-class _Tile:
-    """Rows (node, n, s0 .. s3) of one tile: their forest of candidates, and that of visitors with them."""
-
-    def __init__(self, parts, share: tuple[int, int]):
-        import numpy as np
-
-        self.share = share
-        self.node, self.n, *s = (np.concatenate(c) for c in zip(*parts))
-        self.s = np.stack(s, axis=1).view(np.uint64)
-        self.pairs = spread(len(self.node), near_sketches(self.s, self.n, share))
-        self.group = np.arange(len(self.node))
-        for x, y in self.pairs.T.tolist():  # pairs lead from the inside of a group outwards
-            self.group[y] = self.group[x]
-
-    def forest(self):
-        return self.node[self.pairs[0]], self.node[self.pairs[1]]
-
-    def visit(self, node, n, *s):
-        """For each visitor one near row of each group of the tile."""
-        import numpy as np
-
-        m, s = len(self.node), np.stack(s, axis=1).view(np.uint64)
-        near = near_sketches(np.concatenate([self.s, s]), np.concatenate([self.n, n]), self.share)
-        for at in range(0, len(node), 256):
-            who = np.arange(at, min(at + 256, len(node)))
-            i, j = np.nonzero(near(m + who, np.arange(m)))
-            one = np.unique(i * m + self.group[j], return_index=True)[1]
-            yield node[who[i[one]]], self.node[j[one]]
-
-
-def _compare(share: tuple[int, int]):
-    """Candidate forests of the tiles of nodes; a tile's own rows come before its visitors."""
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        def pairs(a, b):
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-        key, parts, tile = None, [], None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            cols = [np.asarray(batch.column(c)) for c in ("node", "n", "s0", "s1", "s2", "s3")]
-            place = [np.asarray(batch.column(c)) for c in ("path", "tile", "visitor")]
-            cuts = [0, *(np.flatnonzero(np.any([np.diff(c) != 0 for c in place], axis=0)) + 1).tolist(), batch.num_rows]
-            for a, b in zip(cuts, cuts[1:]):
-                now, visitor = (place[0][a], place[1][a]), place[2][a]
-                if parts and (visitor or now != key):
-                    tile, parts = _Tile(parts, share), []
-                    yield pairs(*tile.forest())
-                if now != key:
-                    key, tile = now, None
-                part = [c[a:b] for c in cols]
-                if not visitor:
-                    parts.append(part)
-                elif tile is not None:
-                    for found in tile.visit(*part):
-                        yield pairs(*found)
-        if parts:
-            yield pairs(*_Tile(parts, share).forest())
-
-    return run
-
-
 def _candidates(sets: DataFrame, share: tuple[int, int], recall: float) -> DataFrame:
     """Forests of candidate pairs (a, b) of the sets (node, n, mins, sketch)."""
     spark = sets.sparkSession
@@ -217,7 +147,7 @@ def _candidates(sets: DataFrame, share: tuple[int, int], recall: float) -> DataF
               .select("path", "tile", F.lit(1).alias("visitor"), *kept))
     n = 4 * shuffle_partitions(spark)
     return (homes.union(before).repartition(n, "path", "tile").sortWithinPartitions("path", "tile", "visitor", "node")
-            .mapInArrow(_compare(share), "a long, b long"))
+            .mapInArrow(tile_forests(functools.partial(near_sketches, share=share), "path", sketch_cols), "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, share: tuple[int, int] = (85, 100), recall: float = 1 - 1e-6,

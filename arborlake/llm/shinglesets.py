@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from arborlake.llm.common import LOWER, byte_rows, shuffle_partitions
 from arborlake.llm.components import components
@@ -70,6 +70,86 @@ def spread(rows, near: Callable, most: int = 256):
     return np.concatenate(pairs, axis=1) if pairs else np.zeros((2, 0), np.int64)
 
 
+def text_keys(ids: Column, text: Column) -> tuple[Column, Column]:
+    """Two longs, 128 bits, that stand for an id and a text; never null."""
+    return F.xxhash64(ids, text), F.xxhash64(F.lit("text"), text, ids)
+
+
+def text_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows (id, key1, key2, text) of all rows."""
+    ids, text = F.col(id_col).cast("long"), F.col(text_col)
+    key1, key2 = text_keys(ids, text)
+    return docs.select(ids.alias("id"), key1.alias("key1"), key2.alias("key2"), text.alias("text"))
+
+
+class _Tile:
+    """Rows of one tile (node and the columns of a test): their forest of candidates, and that of visitors with them."""
+
+    def __init__(self, parts, near):
+        import numpy as np
+
+        self.near = near
+        self.node, *self.cols = (np.concatenate(c) for c in zip(*parts))
+        self.pairs = spread(len(self.node), near(*self.cols))
+        self.group = np.arange(len(self.node))
+        for x, y in self.pairs.T.tolist():  # pairs lead from the inside of a group outwards
+            self.group[y] = self.group[x]
+
+    def forest(self):
+        return self.node[self.pairs[0]], self.node[self.pairs[1]]
+
+    def visit(self, node, *cols):
+        """For each visitor one near row of each group of the tile."""
+        import numpy as np
+
+        m = len(self.node)
+        near = self.near(*(np.concatenate(c) for c in zip(self.cols, cols)))
+        for at in range(0, len(node), 256):
+            who = np.arange(at, min(at + 256, len(node)))
+            i, j = np.nonzero(near(m + who, np.arange(m)))
+            one = np.unique(i * m + self.group[j], return_index=True)[1]
+            yield node[who[i[one]]], self.node[j[one]]
+
+
+def tile_forests(near: Callable, key: str, columns: list[str]):
+    """Candidate pairs (a, b) of tiles, for rows in the order of ``key``, ``tile`` and ``visitor``, visitors last.
+
+    ``near``, given the arrays of ``columns``, makes the test for ``spread``. Of each tile a spanning forest is
+    returned, and for each visitor one row of each group of the tile that it is near to.
+    """
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def pairs(a, b):
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        now, parts, tile = None, [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cols = [np.asarray(batch.column(c)) for c in ("node", *columns)]
+            place = [np.asarray(batch.column(c)) for c in (key, "tile", "visitor")]
+            cuts = [0, *(np.flatnonzero(np.any([np.diff(c) != 0 for c in place], axis=0)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:]):
+                turn, visitor = (place[0][a], place[1][a]) != now, place[2][a]
+                if parts and (visitor or turn):
+                    tile, parts = _Tile(parts, near), []
+                    yield pairs(*tile.forest())
+                if turn:
+                    now, tile = (place[0][a], place[1][a]), None
+                part = [c[a:b] for c in cols]
+                if not visitor:
+                    parts.append(part)
+                elif tile is not None:
+                    for found in tile.visit(*part):
+                        yield pairs(*found)
+        if parts:
+            yield pairs(*_Tile(parts, near).forest())
+
+    return run
+
+
 def shared(a, b):
     """Numbers of common elements of each set of ``a`` with each of ``b`` (lists of sorted distinct arrays)."""
     import numpy as np

@@ -13,8 +13,9 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 @pytest.fixture()
 def odd(spark):
     """The odd rows with extra columns whose names operators may use themselves."""
-    rows = [(*r, "x", 7, "y", 1.5) for r in ODD]
-    return spark.createDataFrame(rows, SCHEMA + ", fingerprint string, home int, id string, score double")
+    rows = [(*r, "x", 7, "y", 1.5, 0.9, 1, "m", 2, "r") for r in ODD]
+    return spark.createDataFrame(rows, SCHEMA + ", fingerprint string, home int, id string, score double, toxicity_score double, "
+                                 "kept_key long, mix string, key int, row string")
 
 
 @pytest.fixture()

@@ -90,3 +90,20 @@ def test_long_chain(spark):
     n = 300
     edges = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(5, None), (9, 9)], "a long, b long")
     assert {tuple(r) for r in components(edges, "a", "b").collect()} == {(i, 0) for i in range(n + 1)}
+
+
+def test_a_row_without_id_still_links(spark):
+    """Two documents that only a text with a null id connects, and a text that only such rows have."""
+    a = " ".join(f"w{i}" for i in range(400))
+    middle, end = (a.replace(" w200 ", f" {x} ") for x in ("x", "y"))
+    rows, prints = [], {}
+    for i, text in ((7, a), (None, middle), (9, end), (None, "alone with its text"), (3, "something else here")):
+        rows.append((i, text))
+        prints[text] = slow_print(text)
+    near = lambda x, y: (prints[x] ^ prints[y]).bit_count()
+    radius = max(near(a, middle), near(middle, end))
+    got = {(r.doc_id, r.fingerprint): r.component_id for r in
+           simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), radius=radius).collect()}
+    name = lambda i, text: got[i, f"{prints[text]:016x}"]
+    assert name(7, a) == name(None, middle) == name(9, end) == 7
+    assert name(None, rows[3][1]) is None and name(3, rows[4][1]) == 3

@@ -8,10 +8,12 @@ everything else is one join or one grouped sum against that table.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from arborlake.functions import derive
+from arborlake.operators import intervals
 from arborlake.runtime import materialize
 from arborlake.schema import LAST_RESERVED_FRS, ROOT_FRS, ROOT_IDS
 
@@ -27,6 +29,11 @@ class Directories:
 
     table: DataFrame
 
+    @cached_property
+    def numbers(self) -> DataFrame:
+        """(drive, frs, lo, hi): places in a pre-order walk, kept as a table; cycles have none."""
+        return materialize(intervals.number(_nodes(self.table)), "numbers")
+
     def join_parent(self, rows: DataFrame, lookup: DataFrame, how: str = "left") -> DataFrame:
         """Join rows to ``lookup``, which has one row per (drive, parent_frs).
 
@@ -287,25 +294,81 @@ def ancestor_pairs(dirs: Directories) -> DataFrame:
             .select("drive", "frs", "anc", F.coalesce(step, F.col("frs")).alias("step")))
 
 
+#: Intervals up to which "below" is a filter on the places of directories, instead of a sorted pass.
+FEW_INTERVALS = 64
+
+
+def _nodes(table: DataFrame) -> DataFrame:
+    """(drive, frs, up) of the directories outside cycles; all root ids are one node."""
+    outside = table.filter(F.col("state").isin(OK, BROKEN) & ~_is_root(F.col("frs")))
+    up = F.when(_is_root(F.col("parent_frs")), F.lit(ROOT_FRS).cast("bigint")).otherwise(F.col("parent_frs"))
+    tops = table.filter(F.col("state") == OK).select("drive").distinct().select(
+        "drive", F.lit(ROOT_FRS).cast("bigint").alias("frs"), F.lit(None).cast("bigint").alias("up"))
+    return outside.select("drive", "frs", up.alias("up")).unionByName(tops)
+
+
+def _one_root(keys: DataFrame) -> DataFrame:
+    frs = F.when(_is_root(F.col("frs")), F.lit(ROOT_FRS).cast("bigint")).otherwise(F.col("frs"))
+    return keys.select("drive", frs.alias("frs")).distinct()
+
+
+def _all_roots(found: DataFrame) -> DataFrame:
+    """Rows of the root's node for each of the root ids."""
+    ids = F.when(F.col("frs") == ROOT_FRS, F.array(*[F.lit(i).cast("bigint") for i in ROOT_IDS])).otherwise(F.array("frs"))
+    return found.withColumn("frs", F.explode(ids))
+
+
+def _cyclic_pairs(dirs: Directories, roots: DataFrame) -> DataFrame:
+    """(drive, frs, anc, step) within cycles, which have no places."""
+    rounds = Directories(dirs.table.filter(F.col("state") == CYCLIC))
+    return ancestor_pairs(rounds).join(roots.select("drive", F.col("frs").alias("anc")), ["drive", "anc"], "left_semi")
+
+
 def directories_below(dirs: Directories, roots: DataFrame) -> DataFrame:
-    """(drive, frs) of every directory at or below one of ``roots``."""
-    wanted = roots.select("drive", F.col("frs").alias("anc"))
-    return ancestor_pairs(dirs).join(wanted, ["drive", "anc"], "left_semi").select(KEY).distinct()
+    """(drive, frs) of every directory at or below one of ``roots``.
+
+    A directory is below another if its place is in the other's interval. A few roots become a range filter on the
+    stored places, more of them one sorted pass over places and ends of intervals.
+    """
+    keys = _one_root(roots)
+    spans = dirs.numbers.join(keys, KEY, "left_semi").select("drive", "lo", "hi")
+    few = spans.limit(FEW_INTERVALS + 1).collect()
+    if len(few) <= FEW_INTERVALS:
+        within = F.lit(False)
+        for r in few:
+            within = within | ((F.col("drive") == r.drive) & (F.col("lo") >= r.lo) & (F.col("lo") < r.hi))
+        found = dirs.numbers.filter(within).select(KEY)
+    else:
+        found = intervals.inside(dirs.numbers, keys)
+    return _all_roots(found).unionByName(_cyclic_pairs(dirs, roots).select(KEY)).distinct()
 
 
 def expand_descendants(df: DataFrame, dirs: Directories, roots: DataFrame) -> DataFrame:
     """Rows of ``roots`` plus everything below their directories, each once."""
-    below = directories_below(dirs, roots)
-    inside = dirs.join_parent(df.filter(~_is_root(F.col("frs"))), _as_parent(below), "left_semi")
-    selected = (inside.select(KEY).unionByName(roots.select(KEY))).distinct()
-    return df.join(selected, KEY, "left_semi")
+    parents = materialize(_as_parent(directories_below(dirs, roots)), "parents")
+    at_root = _is_root(F.col("frs"))
+    inside = dirs.join_parent(df.filter(~at_root), parents, "left_semi")
+    own = df.join(roots.select(KEY).distinct(), KEY, "left_semi")
+    outer = dirs.join_parent(own.filter(~at_root), parents, "left_anti")
+    return reduce(DataFrame.unionByName, [x.select(*df.columns) for x in (inside, outer, own.filter(at_root))])
 
 
 def descendants_of(df: DataFrame, dirs: Directories, roots: DataFrame) -> DataFrame:
     """(drive, frs, root, first_step): each row below a root with the direct
-    child of that root it is under."""
-    wanted = roots.select("drive", F.col("frs").alias("anc"))
-    pairs = ancestor_pairs(dirs).join(wanted, ["drive", "anc"], "left_semi")
+    child of that root it is under.
+
+    A sorted pass gives each directory the nearest root above it; other roots are those around that one. The
+    stored chain of ids then names the step below the root.
+    """
+    near, around = intervals.innermost(dirs.numbers, _one_root(roots))
+    asked = roots.select("drive", F.col("frs").alias("outer")).distinct()
+    around = _all_roots(around.withColumnRenamed("outer", "frs")).withColumnRenamed("frs", "outer").join(asked, ["drive", "outer"], "left_semi")
+    chains = dirs.table.filter(F.col("state").isin(OK, BROKEN)).select("drive", "frs", "chain")
+    top = F.when(_is_root(F.col("outer")), F.lit(ROOT_FRS).cast("bigint")).otherwise(F.col("outer"))
+    step = F.coalesce(F.try_element_at(F.col("chain"), F.array_position("chain", top).cast("int") + 1), F.col("frs"))
+    pairs = (_all_roots(near).join(around, ["drive", "root"]).join(chains, KEY)
+             .select("drive", "frs", F.col("outer").alias("anc"), step.alias("step")))
+    pairs = pairs.unionByName(_cyclic_pairs(dirs, roots).select("drive", "frs", "anc", "step"))
     parents = pairs.select("drive", F.col("frs").alias("parent_frs"), F.col("anc").alias("root"), "step")
     rows = df.select("drive", "frs", "parent_frs").filter(~_is_root(F.col("frs")))
     first = F.when(F.col("parent_frs") == F.col("root"), F.col("frs")).otherwise(F.col("step"))

@@ -83,8 +83,8 @@ def drop_written(df: DataFrame) -> None:
 
 
 def running_totals(df: DataFrame, order: list[Column], totals: dict[str, Column],
-                   partitions: int | None = None) -> DataFrame:
-    """Add running totals over a total order without one task seeing all rows.
+                   partitions: int | None = None, fold=F.sum) -> DataFrame:
+    """Add running totals over a total order without one task seeing all rows; ``fold`` is F.sum or F.max.
 
     ``order`` must be a total order (end it with a unique key).  Rows are range
     partitioned, summed per partition, and each partition starts from the sum of
@@ -97,14 +97,16 @@ def running_totals(df: DataFrame, order: list[Column], totals: dict[str, Column]
               .repartitionByRange(n, *order)
               .withColumn("_part", F.spark_partition_id()))
     ranged = materialize(ranged, "ranged")
-    per_part = ranged.groupBy("_part").agg(*[F.sum(v).alias(v) for v in values])
+    per_part = ranged.groupBy("_part").agg(*[fold(v).alias(v) for v in values])
     before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    starts = per_part.select(
-        "_part", *[F.coalesce(F.sum(v).over(before), F.lit(0)).alias(f"_s{v}") for v in values])
+    adds = fold is F.sum
+    starts = per_part.select("_part", *[
+        (F.coalesce(fold(v).over(before), F.lit(0)) if adds else fold(v).over(before)).alias(f"_s{v}") for v in values])
     inside = (W.partitionBy("_part").orderBy(*order)
               .rowsBetween(W.unboundedPreceding, W.currentRow))
     # One row per range partition: the table is as small as the partition count.
     joined = ranged.join(F.broadcast(starts), "_part")
+    plus = (lambda a, b: a + b) if adds else F.greatest
     out = joined.withColumns({
-        name: F.sum(f"_v_{name}").over(inside) + F.col(f"_s_v_{name}") for name in totals})
+        name: plus(fold(f"_v_{name}").over(inside), F.col(f"_s_v_{name}")) for name in totals})
     return out.drop("_part", *values, *[f"_s{v}" for v in values])

@@ -8,7 +8,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arborlake.operators import aggregate as agg, duplicates as dup, hierarchy as h, search as srch
+from arborlake.operators import aggregate as agg, duplicates as dup, hierarchy as h, ngrams, search as srch
 from arborlake.operators.filters import Filters, apply as apply_filters
 from arborlake.plans import presets
 from arborlake.runtime import materialize
@@ -46,6 +46,19 @@ class Catalog:
         """Rows with descendants, treesize and tree_allocated."""
         return h.with_tree_metrics(self.rows, self.sums)
 
+    @cached_property
+    def grams(self) -> DataFrame:
+        """Index of the 3-character pieces of all names."""
+        return self.whole.grams if self.whole else materialize(ngrams.build_ngrams(self.rows), "grams")
+
+    @cached_property
+    def gram_counts(self) -> DataFrame:
+        return self.whole.gram_counts if self.whole else materialize(ngrams.gram_counts(self.grams), "gram_counts")
+
+    def regex(self, expression: str, case_sensitive: bool = False) -> DataFrame:
+        """Rows whose name has a match, by way of the index of pieces."""
+        return ngrams.regex_search(self.rows, self.grams, expression, case_sensitive, counts=self.gram_counts)
+
     def with_paths(self, df: DataFrame | None = None, dir_suffix: bool = False) -> DataFrame:
         """Add paths to this catalog's rows or to any other rows."""
         if df is None:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from arborlake.functions import derive, patterns
+from arborlake.functions import derive, patterns, regexgrams
 from arborlake.functions.categories import expand_extensions
 
 SIZE = 3
@@ -19,29 +19,82 @@ def grams_of(name: Column | str, n: int = SIZE) -> Column:
 
 
 def build_ngrams(df: DataFrame, n: int = SIZE) -> DataFrame:
-    """(gram, drive, frs) of every name.
+    """(gram, drive, frs) of every name, with the stored extension if there is one.
 
     Written in this order, range partitioned so that a frequent gram spreads over
     many files, a lookup reads only the row groups of its grams.
     """
+    stored = ["ext"] if "ext" in df.columns else []
     rows = df.filter(patterns.named(F.col("name"))).select(
-        F.explode(grams_of("name", n)).alias("gram"), "drive", "frs")
+        F.explode(grams_of("name", n)).alias("gram"), "drive", "frs", *stored)
     return rows.repartitionByRange("gram", "drive", "frs").sortWithinPartitions("gram", "drive", "frs")
 
 
-def ngram_search(df: DataFrame, grams: DataFrame, needle: str, n: int = SIZE) -> DataFrame:
+def gram_counts(grams: DataFrame) -> DataFrame:
+    """(gram, postings): a small table by which look-ups choose their rarest grams."""
+    return grams.groupBy("gram").agg(F.count("*").alias("postings"))
+
+
+#: Parts of a conjunction that are looked up; the names of the survivors are tested anyway.
+LOOKED_UP = 2
+#: Places (volume, extension, range of ids) up to which survivors narrow the scan of the rows.
+PLACES = 64
+
+
+def indexed(df: DataFrame, grams: DataFrame, wanted: regexgrams.All, counts: DataFrame | None = None) -> DataFrame:
+    """Rows whose names may satisfy the formula: of each conjunction the rarest grams are looked up.
+
+    The survivors' volumes, extensions and id ranges become a filter on the scan, so only their row groups are read.
+    """
+    named = sorted(regexgrams.grams(wanted))  # as many as the pattern spells out
+    counts = gram_counts(grams) if counts is None else counts
+    known = {r.gram: r.postings for r in counts.filter(F.col("gram").isin(*named)).collect()}
+    chosen = regexgrams.cheapest(wanted, lambda g: known.get(g, 0), LOOKED_UP)
+    used = sorted(regexgrams.grams(chosen))
+    if not regexgrams.holds(chosen, set(known)):
+        return df.filter(F.lit(False))
+    has = {g: F.col(f"_g{i}") for i, g in enumerate(used)}
+
+    def condition(f) -> Column:
+        if isinstance(f, str):
+            return has[f]
+        parts = [condition(p) for p in f.parts]
+        return derive.all_of(parts) if isinstance(f, regexgrams.All) else derive.any_of(parts)
+
+    stored = ["ext"] if "ext" in grams.columns and "ext" in df.columns else []
+    flags = [F.max(F.col("gram") == g).alias(f"_g{i}") for i, g in enumerate(used)]
+    hits = (grams.filter(F.col("gram").isin(*used)).groupBy("drive", "frs", *stored).agg(*flags)
+            .filter(condition(chosen)).select("drive", "frs", *stored))
+    places = hits.groupBy("drive", *stored).agg(F.min("frs").alias("low"), F.max("frs").alias("high")).limit(PLACES + 1).collect()
+    if len(places) <= PLACES:
+        near = F.lit(False)
+        for r in places:
+            here = (F.col("drive") == r.drive) & F.col("frs").between(r.low, r.high)
+            near = near | (here & (F.col("ext") == r.ext) if stored else here)
+        df = df.filter(near)
+    return df.join(hits.select("drive", "frs"), ["drive", "frs"], "left_semi")
+
+
+def ngram_search(df: DataFrame, grams: DataFrame, needle: str, n: int = SIZE, counts: DataFrame | None = None) -> DataFrame:
     """Rows whose name contains ``needle``: index lookup, then a test of the name.
 
     Shorter needles scan the names.
     """
     wanted = needle.upper()
     contains = patterns.named(F.col("name")) & derive.fold("name").contains(wanted)
-    pieces = sorted({wanted[i:i + n] for i in range(len(wanted) - n + 1)})
-    if not pieces:
-        return df.filter(contains)
-    hits = (grams.filter(F.col("gram").isin(*pieces)).groupBy("drive", "frs")
-            .agg(F.count("*").alias("found")).filter(F.col("found") == len(pieces)))
-    return df.join(hits, ["drive", "frs"], "left_semi").filter(contains)
+    pieces = frozenset(wanted[i:i + n] for i in range(len(wanted) - n + 1))
+    return indexed(df, grams, regexgrams.All(pieces), counts).filter(contains) if pieces else df.filter(contains)
+
+
+def regex_search(df: DataFrame, grams: DataFrame, expression: str, case_sensitive: bool = False, n: int = SIZE,
+                 counts: DataFrame | None = None) -> DataFrame:
+    """Rows whose name has a match of ``expression``: what it requires is looked up, the survivors are tested.
+
+    An expression from which nothing is sure scans the names.
+    """
+    test = patterns.named(F.col("name")) & patterns.regex(F.col("name"), expression, case_sensitive)
+    wanted = regexgrams.formula(expression, n)
+    return df.filter(test) if wanted == regexgrams.NOTHING_SURE else indexed(df, grams, wanted, counts).filter(test)
 
 
 def volume_summary(df: DataFrame) -> DataFrame:

@@ -515,10 +515,16 @@ rows("d15_literal_on_path", r"contains(lower(path), '01\order_1') ", r"01\ORDER_
 
 
 def gram_table(spark, sf):
-    c = cat(spark, sf)
-    if "grams" not in c.__dict__:
-        c.__dict__["grams"] = materialize(ngrams.build_ngrams(c.rows), "grams")
-    return c.__dict__["grams"]
+    return cat(spark, sf).grams
+
+
+for _key, _expression, _where in (
+        ("d08_regex_indexed", r"^(hot|cold)_\w+_[0-9]+\.JPG$", r"regexp_matches(lower(name), '^(hot|cold)_\w+_[0-9]+\.jpg$')"),
+        ("d08_regex_optional", r"(old_)?ring_[13]\.(pdf|txt)", r"regexp_matches(lower(name), '(old_)?ring_[13]\.(pdf|txt)')"),
+        ("d08_regex_repeats", r"[0-9]{7,}[37]$|n(at)+ion_[12]", r"regexp_matches(lower(name), '[0-9]{7,}[37]$|n(at)+ion_[12]')"),
+        ("d08_regex_nowhere", r"zzqx.*pdf", "FALSE")):
+    query(_key, f"SELECT drive, frs, name FROM catalog WHERE {_where}")(
+        lambda spark, sf, e=_expression: cat(spark, sf).regex(e).select("drive", "frs", "name"))
 
 
 @query("d16_ngram_search", "SELECT drive, frs, name FROM catalog WHERE contains(lower(name), 'd_ring_3')")

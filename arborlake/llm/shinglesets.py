@@ -17,6 +17,8 @@ from arborlake.runtime import materialize
 
 #: Shingles of a block of a group; two blocks are in memory at once. A short text counts as LEAST shingles.
 WEIGHT, LEAST = 1 << 20, 64
+#: Words of 64 bits in the bitmap that narrows a scan of texts.
+BITMAP_WORDS = 1 << 18
 #: Texts compared in one matrix product, and shingles in it.
 ROWS, COLUMNS = 512, 4096
 
@@ -261,6 +263,19 @@ def _compared(share: tuple[int, int]):
     return run
 
 
+def likely(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """Rows whose ``key`` (a long) may be in ``wanted``: a bitmap of fixed size leaves most others out before the exchange.
+
+    The bitmap has BITMAP_WORDS words at most, whatever the input; on inputs so large that it fills up nothing is left out.
+    """
+    word = lambda k: F.shiftrightunsigned(k, 6).bitwiseAND(F.lit(BITMAP_WORDS - 1).cast("long"))
+    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63).cast("long")).cast("int"))
+    bits = wanted.groupBy(word(F.col(key)).alias("_word")).agg(F.bit_or(bit(F.col(key))).alias("_bits"))
+    bits = F.broadcast(materialize(bits, "bitmap"))
+    here = rows.join(bits, word(rows[key]) == F.col("_word"))
+    return here.filter(F.col("_bits").bitwiseAND(bit(F.col(key))) != 0).drop("_word", "_bits")
+
+
 def confirmed(candidates: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, share: tuple[int, int]) -> DataFrame:
     """Links (a, b) of nodes, enough for their components, that whole sets confirm.
 
@@ -284,7 +299,7 @@ def confirmed(candidates: DataFrame, nodes: DataFrame, texts: DataFrame, words:
                     [part.column("component"), part.column("node"), pa.array([max(LEAST, len(s)) for s in sets], pa.int64()),
                      pa.array(sets, pa.list_(pa.int64()))], names=["component", "node", "weight", "held"])
 
-    found = texts.join(wanted, ["key1", "key2"]).select("component", "node", "text")
+    found = likely(texts, wanted, "key1").join(wanted, ["key1", "key2"]).select("component", "node", "text")
     sets = materialize(found.mapInArrow(run, "component long, node long, weight long, held array<long>"), "sets")
     sizes = sets.groupBy("component").agg(F.ceil(F.sum("weight") / WEIGHT).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")

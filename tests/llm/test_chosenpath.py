@@ -137,3 +137,12 @@ def test_exact_check_of_groups():
                 if (within or blocks[a] != blocks[b]) and 2 * len(x & y) >= len(x | y):
                     group[a] = group[b] = min(group[a], group[b])
         assert first.tolist() == group
+
+
+def test_bitmap_loses_no_wanted_row(spark):
+    rows = spark.range(5000).selectExpr("xxhash64(id) AS key1", "id")
+    wanted = rows.filter("id % 40 = 7").select("key1")
+    kept = shinglesets.likely(rows, wanted, "key1")
+    assert kept.columns == rows.columns
+    ids = {r.id for r in kept.collect()}
+    assert {i for i in range(5000) if i % 40 == 7} <= ids and len(ids) < 200

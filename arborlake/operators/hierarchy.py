@@ -25,9 +25,10 @@ OK, BROKEN, CYCLIC, LOST, OPEN = "ok", "broken", "cyclic", "lost", "open"
 
 @dataclass(frozen=True)
 class Directories:
-    """Directory table of a catalog."""
+    """Directory table of a catalog; ``layers`` counts the changes that lie over its written form."""
 
     table: DataFrame
+    layers: int = 0
 
     @cached_property
     def numbers(self) -> DataFrame:
@@ -179,16 +180,124 @@ def affected_directories(old: Directories, changed: DataFrame) -> DataFrame:
     those rows, everything that was below them, and chains that ended at them."""
     keys = changed.select(KEY).distinct()
     ended = old.table.join(keys.withColumnRenamed("frs", "top"), ["drive", "top"], "left_semi")
-    below = directories_below(old, keys.unionByName(ended.select(KEY)))
+    wanted = keys.unionByName(ended.select(KEY)).select("drive", F.col("frs").alias("anc"))
+    below = ancestor_pairs(old).join(wanted, ["drive", "anc"], "left_semi").select(KEY)
     return below.unionByName(keys).distinct()
 
 
+#: Changes that may lie over a directory table before it is written anew.
+MAX_LAYERS = 8
+
+
 def refresh_directories(old: Directories, df: DataFrame, changed: DataFrame) -> Directories:
-    """Directory table after changes, recomputing only what they can alter.
+    """Directory table after changes: old rows, overlaid with a written delta of those that differ.
 
-    ``df`` is the current catalog, ``changed`` the keys created, renamed or
-    deleted.  A renamed directory shifts its subtree; all other rows keep theirs.
+    ``df`` is the current catalog, ``changed`` the keys created, renamed, moved or deleted. Only the changed directories are
+    resolved, against each other and the old rows of their parents; everything below them keeps its rest behind the
+    nearest changed directory and gets that one's new path and chain in front. After MAX_LAYERS deltas the table is
+    written whole, and so it is if cycles or bad names above a change leave the rest of a path open.
     """
+    keys = materialize(changed.select(KEY).distinct(), "changed")
+    delta = _delta(old, df, keys)
+    if delta is None:
+        return _refreshed_whole(old, df, keys)
+    rows, gone = delta
+    table = old.table.join(gone, KEY, "left_anti").unionByName(rows)
+    if old.layers + 1 >= MAX_LAYERS:
+        return Directories(materialize(table, "directories"))
+    return Directories(table, old.layers + 1)
+
+
+def _delta(old: Directories, df: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+    """(new rows of directories whose row may differ, keys of the old rows they replace); None if it can't tell."""
+    if keys.filter(_is_root(F.col("frs"))).limit(1).count():
+        return None
+    found = _behind_changes(old, keys)
+    doubtful = found.agg(F.count_if("doubtful")).first()[0]
+    start = materialize(_started(old, df, keys, found), "moved")
+    if doubtful or old.table.filter(F.col("state") == CYCLIC).limit(1).count():
+        return None
+    resolved = _resolve(start)
+    if resolved.filter(F.col("state") == CYCLIC).limit(1).count():
+        return None
+    rows = _finished(resolved.unionByName(_put_behind(found.filter("frs <> anc"), resolved)))
+    rows = materialize(rows, "delta")
+    before_lost = old.table.filter(F.col("state") == LOST).select(KEY)
+    gone = materialize(found.select(KEY).unionByName(keys).unionByName(before_lost).distinct(), "gone")
+    # Lost before, deleted by the change, or first named by a changed row; not recorded now, and named by some row.
+    named = df.join(keys, KEY, "left_semi").select("drive", _parent_key().alias("frs"))
+    stays = old.table.filter(F.col("state") != LOST).select(KEY)
+    maybe = (before_lost.unionByName(keys).unionByName(named).distinct().join(rows.select(KEY), KEY, "left_anti")
+             .join(stays.join(gone, KEY, "left_anti"), KEY, "left_anti"))
+    lost = maybe.join(df.select("drive", _parent_key().alias("frs")), KEY, "left_semi")
+    return materialize(rows.unionByName(_lost_rows(lost)), "delta"), gone
+
+
+def _behind_changes(old: Directories, keys: DataFrame) -> DataFrame:
+    """Old directories at or below a changed one, or that ended at one: the nearest (``anc``) and what follows it."""
+    recorded = old.table.filter(F.col("state").isin(OK, BROKEN))
+    wanted = keys.withColumnRenamed("frs", "anc")
+    inside = (recorded.select(*KEY, F.posexplode("chain").alias("pos", "anc")).join(wanted, ["drive", "anc"], "left_semi")
+              .groupBy(KEY).agg(F.max(F.struct("pos", "anc")).alias("near")))
+    ended = (recorded.filter(F.col("state") == BROKEN).select(*KEY, F.col("top").alias("anc")).join(wanted, ["drive", "anc"], "left_semi")
+             .select(*KEY, F.struct(F.lit(-1).alias("pos"), "anc").alias("near")))
+    near = inside.unionByName(ended).groupBy(KEY).agg(F.max("near").alias("near"))
+    near = materialize(near.select(*KEY, "near.pos", "near.anc"), "near")
+    shape = _reopened(recorded).select(*KEY, "rel", "bad_name")
+    above = (shape.join(keys, KEY, "left_semi")
+             .select("drive", F.col("frs").alias("anc"), F.length("rel").alias("skipped"), F.col("bad_name").alias("bad_above")))
+    rows = (recorded.select(*KEY, "parent_frs", "chain").join(shape, KEY).join(near, KEY).join(above, ["drive", "anc"], "left"))
+    inner = F.col("pos") >= 0
+    cut = F.when(inner & (F.col("skipped") > 0), F.substring(F.col("rel"), F.col("skipped") + 2, F.lit(1 << 30))).otherwise(F.col("rel"))
+    rest = F.slice(F.col("chain"), F.col("pos") + 2, F.greatest(F.size("chain") - F.col("pos") - 1, F.lit(0)))
+    above_bad = F.coalesce(F.col("bad_above") & inner, F.lit(False))
+    return materialize(rows.select(
+        *KEY, "parent_frs", "anc", rest.alias("rest_ids"), F.when(F.col("frs") == F.col("anc"), F.lit("")).otherwise(cut).alias("rest_rel"),
+        F.when(above_bad, F.lit(False)).otherwise(F.col("bad_name") & (F.col("frs") != F.col("anc"))).alias("rest_bad"),
+        (above_bad & F.col("bad_name") & (F.col("frs") != F.col("anc"))).alias("doubtful")), "behind")
+
+
+def _started(old: Directories, df: DataFrame, keys: DataFrame, found: DataFrame) -> DataFrame:
+    """The changed directories with a pointer to the nearest changed one above their new parent, or resolved."""
+    start = materialize(_start(df.filter("is_directory").join(keys, KEY, "left_semi")), "started")
+    parents = start.select("drive", F.col("top").alias("frs")).distinct()
+    behind = found.select("drive", F.col("frs").alias("top"), "anc", "rest_ids", "rest_rel", "rest_bad")
+    settled = (_reopened(old.table.filter(F.col("state").isin(OK, BROKEN, CYCLIC)).join(parents, KEY, "left_semi")).select(
+        "drive", F.col("frs").alias("top"), F.col("top").alias("top2"), F.col("ids").alias("ids2"), F.col("rel").alias("rel2"),
+        F.col("state").alias("state2"), F.col("bad_name").alias("bad2")))
+    known = keys.select("drive", F.col("frs").alias("top"), F.lit(True).alias("itself"))
+    is_open = F.col("state") == OPEN
+    joined = (start.filter(is_open).join(known, ["drive", "top"], "left").join(behind, ["drive", "top"], "left")
+              .join(settled, ["drive", "top"], "left"))
+    itself, follows, rests = F.col("itself").isNotNull(), F.col("anc").isNotNull(), F.col("state2").isNotNull()
+
+    def pick(own: Column, behind_: Column, settled_: Column) -> Column:
+        return F.when(itself, own).when(follows, behind_).when(rests, settled_).otherwise(own)
+
+    placed = joined.select(
+        "drive", "frs", "parent_frs", pick(F.col("top"), F.col("anc"), F.col("top2")).alias("top"),
+        pick(F.col("ids"), F.concat("rest_ids", "ids"), F.concat("ids2", "ids")).alias("ids"),
+        pick(F.col("rel"), _joined(F.col("rest_rel"), F.col("rel")), _joined(F.col("rel2"), F.col("rel"))).alias("rel"),
+        pick(F.col("state"), F.col("state"), F.col("state2")).alias("state"),
+        (F.col("bad_name") | pick(F.lit(False), F.col("rest_bad"), F.col("bad2"))).alias("bad_name"))
+    return start.filter(~is_open).unionByName(placed)
+
+
+def _put_behind(found: DataFrame, resolved: DataFrame) -> DataFrame:
+    """Directories below changed ones behind their new places; below a deleted one a chain is broken."""
+    new = resolved.select("drive", F.col("frs").alias("anc"), F.col("top").alias("top2"), F.col("ids").alias("ids2"),
+                          F.col("rel").alias("rel2"), F.col("state").alias("state2"), F.col("bad_name").alias("bad2"))
+    joined, gone = found.join(new, ["drive", "anc"], "left"), F.col("state2").isNull()
+    return joined.select(
+        "drive", "frs", "parent_frs", F.when(gone, F.col("anc")).otherwise(F.col("top2")).alias("top"),
+        F.when(gone, F.col("rest_ids")).otherwise(F.concat("ids2", "rest_ids")).alias("ids"),
+        F.when(gone, F.col("rest_rel")).otherwise(_joined(F.col("rel2"), F.col("rest_rel"))).alias("rel"),
+        F.coalesce("state2", F.lit(BROKEN)).alias("state"),
+        (F.col("rest_bad") | F.coalesce("bad2", F.lit(False))).alias("bad_name"))
+
+
+def _refreshed_whole(old: Directories, df: DataFrame, changed: DataFrame) -> Directories:
+    """The same by resolving all affected directories and writing the whole table."""
     affected = materialize(affected_directories(old, changed), "affected")
     recorded = old.table.filter(F.col("state") != LOST)
     settled = materialize(_reopened(recorded.join(affected, KEY, "left_anti")), "settled")

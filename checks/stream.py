@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from arborlake.operators import overlay as ov
 from arborlake.runtime import materialize
 from arborlake.sources import binding
-from arborlake.streaming import changes as ch, upkeep
+from arborlake.streaming import changes as ch, paths, upkeep
 
 from checks.base import cat, out_path, query
 
@@ -34,8 +34,9 @@ planned AS MATERIALIZED (SELECT n.*, b.frs IS NOT NULL AS live, b.size AS old_si
        WHEN is_created THEN CASE WHEN n.name <> '' THEN 'created' ELSE 'skipped' END
        WHEN is_renamed AND b.frs IS NOT NULL AND n.name <> '' THEN 'renamed' ELSE 'skipped' END AS action
   FROM net n LEFT JOIN base b ON b.drive = n.drive AND b.frs = n.frs),
-applied AS (SELECT b.drive, b.frs, b.parent_frs, b.name, b.size, b.ext FROM base b
-    LEFT JOIN planned p ON p.drive = b.drive AND p.frs = b.frs AND p.action <> 'skipped' WHERE p.frs IS NULL
+touched AS MATERIALIZED (SELECT drive, frs FROM planned WHERE action <> 'skipped'),
+applied AS MATERIALIZED (SELECT b.drive, b.frs, b.parent_frs, b.name, b.size, b.ext FROM base b
+    WHERE NOT EXISTS (SELECT 1 FROM touched t WHERE t.drive = b.drive AND t.frs = b.frs)
   UNION ALL SELECT drive, frs, parent_frs, name, CASE WHEN action = 'created' THEN 0 ELSE old_size END, 'txt'
     FROM planned WHERE action IN ('created', 'renamed'))"""
 
@@ -118,6 +119,40 @@ def _(spark, sf):
     return ov.overlay(base, delta).select("drive", "frs", "parent_frs", "name", "size", "ext")
 
 
+def directory_changes(rows, usn=0):
+    """Journal entries that rename, and partly move, directories: rows with the new name and parent."""
+    return rows.select("drive", (F.monotonically_increasing_id() + usn).alias("usn"), "frs", "parent_frs",
+                       F.lit(0x2000).cast("bigint").alias("reason"), "name", F.lit(0).alias("ts"), F.lit(1).cast("bigint").alias("journal_id"))
+
+
+@query("j06_store_paths", r"""
+WITH now AS MATERIALIZED (SELECT drive, frs, is_directory,
+  CASE WHEN frs BETWEEN 1000000 AND 99999999 AND frs % 100 = 0 THEN CAST(5 AS BIGINT) ELSE parent_frs END AS parent_frs,
+  CASE WHEN frs BETWEEN 1000 AND 1024 AND frs % 3 = 0 THEN 'N_' || name
+       WHEN frs BETWEEN 1000000 AND 99999999 AND frs % 50 = 0 THEN 'moved_' || name
+       WHEN frs BETWEEN 100000000 AND 999999999 AND frs % 40 = 0 THEN 'o_' || frs ELSE name END AS name FROM catalog),
+places AS (SELECT drive, frs, drive || ':\' AS path, drive || ':\' AS front FROM now WHERE frs = 5
+  UNION ALL SELECT n.drive, n.frs, p.front || n.name, p.front || n.name || '\'
+  FROM now n JOIN places p ON n.drive = p.drive AND n.parent_frs = p.frs WHERE n.is_directory AND n.frs <> 5)
+SELECT n.drive, n.frs, CASE WHEN n.frs = 5 THEN n.drive || ':\' ELSE p.front || n.name END AS path
+FROM now n JOIN places p ON p.drive = n.drive AND p.frs = n.parent_frs""")
+def _(spark, sf):
+    """Two batches rename nested directories and move some to the root; paths follow in the store."""
+    c = cat(spark, sf)
+    store = upkeep.CatalogStore(spark, out_path(spark, "store"))
+    store.create(c.rows, {d.drive: 1 for d in c.rows.select("drive").distinct().collect()})   # volume letters
+    current = paths.CurrentPaths(store, c.dirs)
+    frs = F.col("frs")
+    nations = c.rows.filter(frs.between(1000, 1024) & (frs % 3 == 0)).withColumn("name", F.concat(F.lit("N_"), "name"))
+    customers = c.rows.filter("is_directory").filter(frs.between(1_000_000, 99_999_999) & (frs % 50 == 0)).withColumns({
+        "name": F.concat(F.lit("moved_"), "name"), "parent_frs": F.when(frs % 100 == 0, F.lit(5)).otherwise(F.col("parent_frs"))})
+    orders = c.rows.filter("is_directory").filter(frs.between(100_000_000, 999_999_999) & (frs % 40 == 0)).withColumn(
+        "name", F.concat(F.lit("o_"), frs.cast("string")))
+    current.step(directory_changes(nations.unionByName(customers)), 0)
+    current.step(directory_changes(orders, 1 << 40), 1)
+    return current.rows().select("drive", "frs", "path")
+
+
 @query("j07_cadence_compaction", None)
 def _(spark, sf):
     """Four micro-batches with a compaction after every second one."""

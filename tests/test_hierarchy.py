@@ -235,3 +235,61 @@ def test_overlay_compressed_stream_counts_once(spark):
         "reparse_tag": F.when(F.col("frs") == 30, F.lit(links.OVERLAY_TAG))})
     got = as_dict(links.tree_sums_by_stream(df, h.build_directories(df)), "treesize", "tree_allocated")
     assert got[("C", 5)] == (100, 64)
+
+
+@pytest.mark.parametrize("seed", [11, 12, 13])
+def test_deltas_of_many_changes_equal_rebuilds(spark, seed, monkeypatch):
+    """Nested renames and moves, deletions and new directories, lost and found parents, over several layers."""
+    monkeypatch.setattr(h, "MAX_LAYERS", 3)
+    rng = random.Random(seed)
+    rows = {(r[0], r[1]): r for r in random_tree(seed, n_dirs=40, n_files=40, lost=5)}
+    bad = {k for k in rows if seed == 13 and rng.random() < 0.1}
+
+    def frames():
+        df = frame(spark, list(rows.values()))
+        names = F.encode("name", "UTF-8")
+        keys = F.concat_ws(":", "drive", F.col("frs").cast("string")).isin(*[f"{d}:{f}" for d, f in bad] or [""])
+        return df.withColumn("name_bytes", F.when(keys, F.concat(names, F.unhex(F.lit("EDB3BF")))).otherwise(names))
+
+    dirs, columns = h.build_directories(frames()), ("path", "chain", "depth", "state", "top", "parent_frs", "bad_name")
+    written = []
+    for step in range(4):
+        changed = set()
+        folders = sorted(k for k, r in rows.items() if r[4] and k[1] != 5)
+        for key in rng.sample(folders, 7):
+            r = rows[key]
+            turn = rng.random()
+            changed.add(key)
+            if turn < 0.15:
+                del rows[key]
+            elif turn < 0.5:
+                rows[key] = (*r[:3], f"r{step}{r[3]}", *r[4:])
+            else:
+                target, below = rng.choice([k for k in folders if k in rows and k[0] == key[0]] + [(key[0], 5)]), {key}
+                for _ in rows:
+                    below |= {k for k, x in rows.items() if (x[0], x[2]) in below}
+                if target not in below:
+                    rows[key] = (*r[:2], target[1], *r[3:])
+        for i in range(2):
+            key = ("C", 9_000 + i + step) if step % 2 else ("C", 500 + 10 * step + i)
+            rows[key] = record(key[1], rng.choice([k[1] for k in rows if k[0] == "C" and rows[k][4]]), f"new{step}{i}", is_dir=True)
+            changed.add(key)
+        df = frames()
+        delta = h._delta
+        monkeypatch.setattr(h, "_delta", lambda *a: written.append(delta(*a)) or written[-1])
+        dirs = h.refresh_directories(dirs, df, frame(spark, [record(f, 5, "x", drive=d) for d, f in changed]))
+        monkeypatch.setattr(h, "_delta", delta)
+        assert as_dict(dirs.table, *columns) == as_dict(h.build_directories(df).table, *columns)
+    assert seed == 13 or all(w is not None for w in written)
+
+
+def test_a_rename_writes_only_what_is_below(spark):
+    tree = random_tree(5, n_dirs=200, n_files=0, drives="C")
+    df = frame(spark, tree)
+    dirs = h.build_directories(df)
+    now = df.withColumn("name", F.when(F.col("frs") == 290, F.lit("other")).otherwise(F.col("name")))
+    keys = df.filter("frs = 290").select(h.KEY)
+    rows, gone = h._delta(dirs, now, keys)
+    below = h.affected_directories(dirs, keys)
+    assert rows.count() == gone.count() == below.count() < 60
+    assert h.refresh_directories(dirs, now, keys).layers == 1

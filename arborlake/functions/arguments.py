@@ -45,7 +45,7 @@ def _add_months(first: datetime, months: int) -> datetime:
 
 
 def time_bound(spec: str | datetime, as_of: datetime, lower: bool) -> datetime:
-    """Instant named by a duration back from ``as_of``, an ISO date or a range.
+    """Instant named by a duration back from ``as_of``, an ISO date (with a time, if wanted) or a range.
 
     A named range gives its start as a lower bound and its end as an upper one;
     ranges that are still running give their start for both.
@@ -53,6 +53,8 @@ def time_bound(spec: str | datetime, as_of: datetime, lower: bool) -> datetime:
     if isinstance(spec, datetime):
         return spec
     key = spec.strip().lower()
+    if re.fullmatch(r"\d{4}-\d{2}-\d{2}([ t]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?)?", key):
+        return datetime.fromisoformat(key)
     today = _midnight(as_of)
     week = today - timedelta(days=today.weekday())
     month = today.replace(day=1)
@@ -84,8 +86,6 @@ def time_bound(spec: str | datetime, as_of: datetime, lower: bool) -> datetime:
     back = re.fullmatch(r"(-?\d+)([smhdw])", key)
     if back:
         return as_of - timedelta(**{_STEPS[back[2]]: int(back[1])})
-    if re.fullmatch(r"\d{4}-\d{2}-\d{2}", key):
-        return datetime.strptime(key, "%Y-%m-%d")
     raise ValueError(f"invalid time: {spec!r}")
 
 

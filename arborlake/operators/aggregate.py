@@ -7,6 +7,8 @@ share_count and share_bytes (percent of the scope).
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from arborlake.functions import derive
@@ -191,12 +193,21 @@ def terms(df: DataFrame, name: str, top: int | None = None, metrics=None, sample
     ``prefix`` keeps only keys that start with it, before the top-n.  ``sample``
     adds an array of representative rows to each surviving bucket.
     """
-    f = _capable(name, "group")
-    top = f.default_top if top is None else top
     keyed = df.withColumn("key", group_key(df, name))
     if prefix:
         keyed = keyed.filter(F.lower("key").startswith(prefix.lower()))
-    grouped = keyed.groupBy("key").agg(*_partials())
+    out = top_terms(keyed.groupBy("key").agg(*_partials()), name, top, metrics)
+    if not sample:
+        return out
+    hits = top_hits(keyed, out.select("key"), ["key"], sample, sample_sort, sample_desc,
+                    sample_fields, dirs)
+    return out.join(hits, "key", "left")
+
+
+def top_terms(grouped: DataFrame, name: str, top: int | None, metrics) -> DataFrame:
+    """The buckets with most rows of a table of partial metrics per ``key``."""
+    f = _capable(name, "group")
+    top = f.default_top if top is None else top
     order = [F.col("count").desc(), F.col("key").asc()]
     if f.kind == "bool" or f.name in _FEW_GROUPS:
         # At most a few dozen groups: one window over the grouped table.
@@ -214,12 +225,7 @@ def terms(df: DataFrame, name: str, top: int | None = None, metrics=None, sample
         "other_count": totals[0] - F.sum("count").over(kept), "total_groups": totals[2]})
     # The window above runs over the limited rows only.
     out = _with_metrics(rows, metrics, totals[0], totals[1])
-    out = out.select("key", *_check_metrics(metrics), "other_count", "total_groups")
-    if not sample:
-        return out
-    hits = top_hits(keyed, out.select("key"), ["key"], sample, sample_sort, sample_desc,
-                    sample_fields, dirs)
-    return out.join(hits, "key", "left")
+    return out.select("key", *_check_metrics(metrics), "other_count", "total_groups")
 
 
 def flag_facets(df: DataFrame, names: list[str] | None = None) -> DataFrame:
@@ -245,16 +251,27 @@ def top_hits(keyed: DataFrame, surviving: DataFrame, keys: list[str], n: int = 2
     The row limit runs before the exchange as well as after it, so a bucket with
     a third of all rows still sends only ``n`` rows per task.
     """
+    order = _sample_order(keyed, n, sort, descending)
+    return _samples(_best(keyed.join(surviving, keys, "left_semi"), keys, n, order), keys, fields, dirs)
+
+
+def _sample_order(df: DataFrame, n: int, sort: str, descending: bool) -> list[Column]:
     f = field(sort)
     if not f.sortable:
         raise ValueError(f"cannot sort samples by {f.name!r}")
     if not 1 <= n <= MAX_SAMPLE:
         raise ValueError(f"sample must be 1..{MAX_SAMPLE}")
-    value = derive.field_column(keyed, f.name)
-    order = [value.desc_nulls_last() if descending else value.asc_nulls_first(), F.col("drive"), F.col("frs")]
-    picked = (keyed.join(surviving, keys, "left_semi")
-              .withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
-              .filter(F.col("rank") <= n))
+    value = derive.field_column(df, f.name)
+    return [value.desc_nulls_last() if descending else value.asc_nulls_first(), F.col("drive"), F.col("frs")]
+
+
+def _best(df: DataFrame, keys: list[str], n: int, order: list[Column]) -> DataFrame:
+    """The first ``n`` rows of each bucket with their ``rank``; the limit runs before the exchange and after it."""
+    return df.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter(F.col("rank") <= n)
+
+
+def _samples(picked: DataFrame, keys: list[str], fields, dirs: Directories | None) -> DataFrame:
+    """Ranked rows as one array per bucket."""
     if dirs is not None and any(field(x).needs == "path" for x in fields):
         picked = h.with_paths(picked, dirs)
     shown = [x for x in fields if field(x).needs != "path" or "path" in picked.columns]
@@ -291,6 +308,30 @@ def drilldown_range(buckets: DataFrame, name: str, low: Column, high: Column,
     return buckets.withColumn("drilldown", F.filter(every, lambda e: e["value"].isNotNull()))
 
 
+def drilldown_histogram(buckets: DataFrame, name: str, interval: int, scope=()) -> DataFrame:
+    """Predicates of fixed-width buckets."""
+    return drilldown_range(buckets, name, F.col("key"), F.col("key") + interval, scope)
+
+
+def drilldown_named_range(buckets: DataFrame, name: str, boundaries: list[int], scope=()) -> DataFrame:
+    """Predicates of the buckets of ``range_``, open at both ends."""
+    bounds = sorted(boundaries)
+    low = reduce(lambda chain, b: chain.when(F.col("key").startswith(f"{b} - ") | (F.col("key") == f">= {b}"), F.lit(b)),
+                 bounds, F.when(F.lit(False), F.lit(0)))
+    high = reduce(lambda chain, b: chain.when(F.col("key").endswith(f" - {b}") | (F.col("key") == f"< {b}"), F.lit(b)),
+                  bounds, F.when(F.lit(False), F.lit(0)))
+    return drilldown_range(buckets, name, low, high, scope)
+
+
+def drilldown_date(buckets: DataFrame, name: str, calendar: str = "month", scope=()) -> DataFrame:
+    """Predicates of calendar buckets: from the bucket's start to the next one's; unset times are those without a value."""
+    start = F.to_timestamp_ntz(F.rpad(F.when(F.col("key") != "", F.col("key")), 16, " 00:00").substr(1, 16), F.lit("yyyy-MM-dd HH:mm"))
+    step = {"hour": F.make_dt_interval(hours=F.lit(1)), "day": F.make_dt_interval(days=F.lit(1)), "week": F.make_dt_interval(days=F.lit(7)),
+            "month": F.make_ym_interval(months=F.lit(1)), "quarter": F.make_ym_interval(months=F.lit(3)), "year": F.make_ym_interval(years=F.lit(1))}
+    text = lambda ts: F.date_format(ts, "yyyy-MM-dd HH:mm:ss")
+    return drilldown_range(buckets, name, text(start), text(start + step[calendar]), scope)
+
+
 def key_predicate(name: str, key: str) -> tuple[str, str, object]:
     """Predicate of one bucket key, for :func:`filters.where_all`."""
     f = field(name)
@@ -386,6 +427,18 @@ def rollup_drive(df: DataFrame, top: int | None = None, metrics=None) -> DataFra
     return _ranked(_with_metrics(grouped, metrics, *_group_totals(grouped, metrics)[:2]), top)
 
 
+def _placed(dirs: Directories, bucket: Column, own: Column) -> tuple[DataFrame, DataFrame]:
+    """Directories whose rows share a bucket (``key``), and those whose rows are buckets of their own."""
+    placed = dirs.table.select("drive", F.col("frs").alias("parent_frs"), bucket.alias("key"),
+                               own.alias("own"), F.col("path").alias("p_path"))
+    return (placed.filter(F.col("key").isNotNull()).select("drive", "parent_frs", "key"),
+            placed.filter("own").select("drive", "parent_frs", "p_path"))
+
+
+def _own_path() -> Column:
+    return h._path_expr(F.coalesce("name", F.lit("")))
+
+
 def _subtree_groups(df: DataFrame, dirs: Directories, bucket: Column, own: Column,
                     extra: dict[str, Column]) -> DataFrame:
     """Partial metrics per bucket path (and extra keys).
@@ -395,52 +448,73 @@ def _subtree_groups(df: DataFrame, dirs: Directories, bucket: Column, own: Colum
     per directory before they meet the directory table; only rows that are their
     own bucket are joined one by one.
     """
-    keys = ["drive", "parent_frs", *extra]
     rows = df.withColumns(extra) if extra else df
-    per_dir = rows.groupBy(*keys).agg(*_partials())
-    placed = dirs.table.select("drive", F.col("frs").alias("parent_frs"), bucket.alias("key"),
-                               own.alias("own"), F.col("path").alias("p_path"))
-    inner = (per_dir.join(placed.filter(F.col("key").isNotNull()), ["drive", "parent_frs"])
-             .select("key", *extra, *METRICS[:3], "min_size", "max_size"))
-    single = placed.filter("own").select("drive", "parent_frs", "p_path")
-    alone = dirs.join_parent(rows, single, "inner")
-    own_rows = (alone.withColumn("key", h._path_expr(F.coalesce("name", F.lit(""))))
+    shared, single = _placed(dirs, bucket, own)
+    per_dir = rows.groupBy("drive", "parent_frs", *extra).agg(*_partials())
+    inner = per_dir.join(shared, ["drive", "parent_frs"]).select("key", *extra, *METRICS[:3], "min_size", "max_size")
+    own_rows = (dirs.join_parent(rows, single, "inner").withColumn("key", _own_path())
                 .groupBy("key", *extra).agg(*_partials()))
     return inner.unionByName(own_rows.select(*inner.columns)).groupBy("key", *extra).agg(*_merged())
 
 
-def _rollup(df, dirs, bucket, own, top, metrics, sub, sub_top) -> DataFrame:
+def _subtree_samples(df: DataFrame, dirs: Directories, bucket: Column, own: Column, extra: dict[str, Column],
+                     surviving: DataFrame, sample: int, sort: str, descending: bool, fields) -> DataFrame:
+    """Up to ``sample`` rows per surviving bucket: the best of each directory first, then the best of those.
+
+    The best rows of a union are among the best of its parts, so no more than ``sample`` rows of a
+    directory meet the directory table, and no more of a bucket leave a task.
+    """
+    rows = df.withColumns(extra) if extra else df
+    order = _sample_order(rows, sample, sort, descending)
+    shared, single = _placed(dirs, bucket, own)
+    columns = list(rows.columns)
+    per_dir = _best(rows, ["drive", "parent_frs", *extra], sample, order).select(*columns)
+    inner = per_dir.join(shared, ["drive", "parent_frs"]).select(*columns, "key")
+    own_rows = dirs.join_parent(rows, single, "inner").withColumn("key", _own_path()).select(*columns, "key")
+    keys = ["key", *extra]
+    both = inner.unionByName(own_rows).join(surviving.select(*keys), keys, "left_semi")
+    return _samples(_best(both, keys, sample, _sample_order(both, sample, sort, descending)), keys, fields, dirs)
+
+
+def _rollup(df, dirs, bucket, own, top, metrics, sub, sub_top, sample=0, sample_sort="size", sample_desc=True,
+            sample_fields=SAMPLE_FIELDS) -> DataFrame:
     totals = _scope_totals(df, metrics)
     extra = {"sub_key": group_key(df, sub)} if sub else {}
     groups = _subtree_groups(df, dirs, bucket, own, extra)
     if not sub:
-        return _ranked(_with_metrics(groups, metrics, *totals), top)
-    outer = _ranked(groups.groupBy("key").agg(F.sum("total_bytes").alias("total_bytes")), top)
-    order = W.partitionBy("key").orderBy(F.col("count").desc(), F.col("sub_key"))
-    inside = groups.join(outer.select("key"), "key", "left_semi")
-    ranked = (_with_metrics(inside, metrics, *totals)
-              .withColumn("sub_rank", F.row_number().over(order)))
-    return ranked.filter(F.col("sub_rank") <= sub_top) if sub_top else ranked
+        out = _ranked(_with_metrics(groups, metrics, *totals), top)
+    else:
+        outer = _ranked(groups.groupBy("key").agg(F.sum("total_bytes").alias("total_bytes")), top)
+        order = W.partitionBy("key").orderBy(F.col("count").desc(), F.col("sub_key"))
+        inside = groups.join(outer.select("key"), "key", "left_semi")
+        ranked = (_with_metrics(inside, metrics, *totals)
+                  .withColumn("sub_rank", F.row_number().over(order)))
+        out = ranked.filter(F.col("sub_rank") <= sub_top) if sub_top else ranked
+    if not sample:
+        return out
+    hits = _subtree_samples(df, dirs, bucket, own, extra, out, sample, sample_sort, sample_desc, sample_fields)
+    return out.join(hits, ["key", *extra], "left")
 
 
 def rollup_path(df: DataFrame, dirs: Directories, depth: int = 1, top: int | None = None,
-                metrics=None, sub: str | None = None, sub_top: int | None = None) -> DataFrame:
+                metrics=None, sub: str | None = None, sub_top: int | None = None, **samples) -> DataFrame:
     """Totals per ancestor ``depth`` levels under the root, most bytes first.
 
     Rows that are not that deep are their own bucket.  With ``sub`` each bucket is
-    split by a second field, ranked inside it.
+    split by a second field, ranked inside it.  ``sample`` (with ``sample_sort``, ``sample_desc``, ``sample_fields``)
+    adds representative rows to each bucket that is returned.
     """
     deep = F.col("depth") > depth
     bucket = F.when(deep, h.path_at_depth(F.col("path"), depth))
-    return _rollup(df, dirs, bucket, ~deep, top, metrics, sub, sub_top)
+    return _rollup(df, dirs, bucket, ~deep, top, metrics, sub, sub_top, **samples)
 
 
 def rollup_ancestor(df: DataFrame, dirs: Directories, drive: str, ancestor: int,
                     top: int | None = None, metrics=None, sub: str | None = None,
-                    sub_top: int | None = None, outside: str = "own") -> DataFrame:
+                    sub_top: int | None = None, outside: str = "own", **samples) -> DataFrame:
     """Totals per direct child of one directory.
 
-    Rows not below it are their own buckets, or left out with ``outside="drop"``.
+    Rows not below it are their own buckets, or left out with ``outside="drop"``. Samples as in ``rollup_path``.
     """
     at = F.when(F.col("drive") == drive, F.array_position("chain", F.lit(ancestor).cast("bigint"))).otherwise(0)
     below = (at > 0) & (F.col("depth") > at)
@@ -448,7 +522,7 @@ def rollup_ancestor(df: DataFrame, dirs: Directories, drive: str, ancestor: int,
     bucket = F.when(below, _leading(F.col("path"), level))
     inside = (at > 0) & ~below
     own = inside if outside == "drop" else ~below
-    return _rollup(df, dirs, bucket, own, top, metrics, sub, sub_top)
+    return _rollup(df, dirs, bucket, own, top, metrics, sub, sub_top, **samples)
 
 
 def _leading(path: Column, parts: Column) -> Column:

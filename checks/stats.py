@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from dataclasses import replace
 from datetime import datetime
-from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import functions as F
 
 from arborlake import Filters
+from arborlake.functions import derive
 from arborlake.functions.derive import SIZE_BOUNDS
 from arborlake.operators import aggregate as agg, duplicates as dup, filters as flt
 from arborlake.runtime import materialize
@@ -266,6 +266,33 @@ def flat_samples(df, keys, shown=("drive",)):
     return df.select(*keys, F.explode("samples").alias("s"))
 
 
+@query("f15_rollup_samples", rf"""
+WITH r AS (SELECT *, {_depth_key(2)} AS key FROM paths),
+o AS (SELECT key, CAST(sum(size) AS BIGINT) AS total_bytes FROM r GROUP BY key ORDER BY 2 DESC, key LIMIT 25)
+SELECT key, total_bytes, CAST(rank AS INT) AS rank, name, size, path FROM (
+  SELECT r.*, o.total_bytes, row_number() OVER (PARTITION BY key ORDER BY size DESC, drive, frs) AS rank FROM r JOIN o USING (key))
+WHERE rank <= 4""")
+def _(spark, sf):
+    c = cat(spark, sf)
+    out = agg.rollup_path(c.rows, c.dirs, 2, 25, ("total_bytes",), sample=4, sample_fields=("name", "size", "path"))
+    return flat_samples(out, ["key", "total_bytes"]).select("key", "total_bytes", "s.rank", "s.name", "s.size", "s.path")
+
+
+@query("f14_nested_samples", rf"""
+WITH r AS (SELECT *, {_depth_key(1)} AS key, type AS sub_key FROM paths),
+g AS (SELECT key, sub_key, count(*) AS count, sum(size) AS b FROM r GROUP BY 1, 2),
+o AS (SELECT key FROM g GROUP BY key ORDER BY sum(b) DESC, key LIMIT 10),
+k AS (SELECT key, sub_key FROM g JOIN o USING (key) QUALIFY row_number() OVER (PARTITION BY key ORDER BY count DESC, sub_key) <= 3)
+SELECT key, sub_key, CAST(rank AS INT) AS rank, name FROM (
+  SELECT r.*, row_number() OVER (PARTITION BY key, sub_key ORDER BY modified ASC NULLS FIRST, drive, frs) AS rank FROM r JOIN k USING (key, sub_key))
+WHERE rank <= 2""")
+def _(spark, sf):
+    c = cat(spark, sf)
+    out = agg.rollup_path(c.rows, c.dirs, 1, 10, ("total_bytes",), sub="type", sub_top=3, sample=2, sample_sort="modified",
+                          sample_desc=False, sample_fields=("name",))
+    return flat_samples(out, ["key", "sub_key"]).select("key", "sub_key", "s.rank", "s.name")
+
+
 @query("f15_top_hits", """
 SELECT key, CAST(rank AS INT) AS rank, name, size, path FROM (
   SELECT type AS key, name, size, path, row_number() OVER (PARTITION BY type ORDER BY size DESC, drive, frs) AS rank
@@ -288,14 +315,15 @@ def _(spark, sf):
 
 
 def round_trip(rows, buckets):
-    """Counts of the rows that each bucket's own predicates select."""
-    parts = []
-    for b in buckets.collect():   # a bucket for each type, flag value, volume or range
+    """Counts of the rows that each bucket's own predicates select, all from one pass over the rows."""
+    found, counts = [], []
+    kind = buckets.schema["key"].dataType
+    for i, b in enumerate(buckets.collect()):   # a bucket for each type, flag value, volume, range or quarter
         asked = [(d["field"], d["op"], d["value"]) for d in b["drilldown"]]
-        text = "; ".join(" ".join(p) for p in asked)
-        parts.append(flt.where_all(rows, asked).agg(F.count("*").alias("again")).select(
-            F.lit(b["key"]).cast(buckets.schema["key"].dataType).alias("key"), F.lit(b["count"]).cast("bigint").alias("count"), "again", F.lit(text).alias("predicates")))
-    return reduce(DataFrame.unionAll, parts)
+        counts.append(F.count_if(derive.all_of([flt.predicate(rows, *p) for p in asked])).alias(f"n{i}"))
+        found.append(F.struct(F.lit(b["key"]).cast(kind).alias("key"), F.lit(b["count"]).cast("bigint").alias("count"), F.col(f"n{i}").alias("again"),
+                              F.lit("; ".join(" ".join(p) for p in asked)).alias("predicates")))
+    return rows.agg(*counts).select(F.inline(F.array(*found)))
 
 
 @query("f16_drilldown", """
@@ -321,14 +349,40 @@ def _(spark, sf):
     return round_trip(rows, agg.drilldown(agg.terms(rows, "hidden", None, ("count",)), "hidden"))
 
 
-@query("f16_drilldown_range", """
+_BOUNDS = (1000, 1_000_000, 2_000_000, 4_000_000, 8_000_000)
+_NAMED = "CASE WHEN size < 1000 THEN '< 1000'" + "".join(
+    f" WHEN size < {b} THEN '{a} - {b}'" for a, b in zip(_BOUNDS, _BOUNDS[1:])) + f" ELSE '>= {_BOUNDS[-1]}' END"
+_NAMED_ENDS = "CASE WHEN size < 1000 THEN 'size lt 1000'" + "".join(
+    f" WHEN size < {b} THEN 'size gte {a}; size lt {b}'" for a, b in zip(_BOUNDS, _BOUNDS[1:])) + f" ELSE 'size gte {_BOUNDS[-1]}' END"
+
+
+@query("f16_drilldown_range", f"""
+SELECT key, count(*) AS count, count(*) AS again, 'drive eq D; ' || ends AS predicates
+FROM (SELECT {_NAMED} AS key, {_NAMED_ENDS} AS ends FROM catalog WHERE drive = 'D') GROUP BY key, ends""")
+def _(spark, sf):
+    """All named ranges, those open at an end too."""
+    rows, scope = cat(spark, sf).rows, [("drive", "eq", "D")]
+    buckets = agg.range_(flt.where_all(rows, scope), "size", list(_BOUNDS), ("count",))
+    return round_trip(rows, agg.drilldown_named_range(buckets, "size", list(_BOUNDS), scope))
+
+
+@query("f16_drilldown_histogram", """
 SELECT b AS key, count(*) AS count, count(*) AS again, 'drive eq D; size gte ' || b || '; size lt ' || (b + 1000000) AS predicates
-FROM (SELECT size // 1000000 * 1000000 AS b FROM catalog WHERE drive = 'D') GROUP BY b ORDER BY b LIMIT 12""")
+FROM (SELECT size // 1000000 * 1000000 AS b FROM catalog WHERE drive = 'D') GROUP BY b""")
 def _(spark, sf):
     rows, scope = cat(spark, sf).rows, [("drive", "eq", "D")]
-    low = F.expr("size div 1000000 * 1000000")
-    buckets = flt.where_all(rows, scope).groupBy(low.alias("key")).agg(F.count("*").alias("count")).orderBy("key").limit(12)
-    return round_trip(rows, agg.drilldown_range(buckets, "size", F.col("key"), F.col("key") + 1_000_000, scope))
+    buckets = agg.histogram(flt.where_all(rows, scope), "size", 1_000_000, ("count",))
+    return round_trip(rows, agg.drilldown_histogram(buckets, "size", 1_000_000, scope))
+
+
+@query("f16_drilldown_date", """
+SELECT strftime(m, '%Y-%m-%d') AS key, count(*) AS count, count(*) AS again,
+  'modified gte ' || strftime(m, '%Y-%m-%d 00:00:00') || '; modified lt ' || strftime(m + INTERVAL 3 MONTH, '%Y-%m-%d 00:00:00') AS predicates
+FROM (SELECT date_trunc('quarter', modified) AS m FROM catalog WHERE NOT is_directory) GROUP BY m""")
+def _(spark, sf):
+    rows = files(spark, sf)
+    buckets = agg.date_histogram(rows, "modified", "quarter", ("count",)).select("key", "count")
+    return round_trip(rows, agg.drilldown_date(buckets, "modified", "quarter"))
 
 
 # ---------------------------------------------------------------- duplicates

@@ -22,6 +22,8 @@ SAMPLE_DOCS, SAMPLE_IDS, DICTIONARY_BYTES = 2000, 4096, 64 << 10
 CACHE_UNITS = 600_000
 # Fixed value: the pattern by which byte-level vocabularies split a text into pieces.
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Signs that often follow a word and are a piece of their own.
+SIGNS = frozenset(",.;:!?")
 #: Bytes of compressed documents that a range of ids, and so a data file, has on average.
 FILE_BYTES = 32 << 20
 
@@ -58,14 +60,13 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        if hasattr(self.model, "_resize_cache"):
-            self.model._resize_cache(0)  # pieces are remembered here; the inner memory only adds look-ups
         with open(path) as f:
             kind = json.load(f)
         split = kind["pre_tokenizer"] or {}
         self.by_piece = (kind["model"]["type"] == "BPE" and not kind["normalizer"] and split.get("type") == "ByteLevel"
                          and split["use_regex"] and not split["add_prefix_space"])
         self.added = [t["content"] for t in kind["added_tokens"]]
+        self.plain = not any(a.isalpha() or a[:-1].isalpha() or a[:-1] == "" for a in self.added)
         self.find = regex.compile(PIECE).findall
         self.signs = {b: chr(b) for b in (*range(33, 127), *range(161, 173), *range(174, 256))}
         self.signs |= {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in self.signs)}
@@ -82,6 +83,11 @@ class Encoder:
         """Ids of a space and ``unit``; None if the cut after the unit is no end of a piece."""
         if not unit or unit[-1].isspace():
             return None
+        # Letters alone are one piece, and so is one sign after them; no added token has that form.
+        if unit.isalpha() and self.plain:
+            return self.pieces[" " + unit]
+        if unit[-1] in SIGNS and unit[:-1].isalpha() and self.plain:
+            return self.pieces[" " + unit[:-1]] + self.pieces[unit[-1]]
         if any(a in unit for a in self.added):
             return self.whole(" " + unit)
         return b"".join(map(self.pieces.__getitem__, self.find(" " + unit)))

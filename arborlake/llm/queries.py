@@ -139,12 +139,12 @@ every AS (SELECT r, k, least, v, [len(x) FOR x IN m] AS n, [len(x) FOR x IN g] A
                  unnest(range(1, len(m) + 1)) AS i FROM m WHERE len(m) > 0),
 base AS (SELECT r, k, v[i] AS v, list_sum(g[1:i]) + coalesce(list_sum(n[1:i - 1]), 0) AS b,
                 list_sum(g[1:i]) + list_sum(n[1:i]) AS e FROM every WHERE len(v[i]) >= least),
-judged AS (SELECT v, count(DISTINCT owner) AS owners,
+judged AS (SELECT v, count(DISTINCT owner) AS owners, count(DISTINCT (owner, repo)) AS repos,
                   len(list_distinct(string_split(v, ''))) >= 8
                   AND NOT regexp_matches(v, '(?i)example|sample|dummy|changeme|placeholder|your|xxxx') AS random
            FROM base JOIN d USING (r) GROUP BY v),
-added AS (SELECT DISTINCT r, CASE WHEN owners = 1 THEN 3 ELSE 4 END AS k, e - len(v) AS b, e
-          FROM base JOIN judged USING (v) WHERE owners >= 3 OR owners = 1 AND random),
+added AS (SELECT DISTINCT r, CASE WHEN owners = 1 AND repos <= 5 THEN 3 ELSE 4 END AS k, e - len(v) AS b, e
+          FROM base JOIN judged USING (v) WHERE owners >= 3 OR repos >= 20 OR owners = 1 AND repos <= 5 AND random),
 named AS (SELECT r, b, k, e, ['assign', 'access', 'hex', 'live', 'copied'][k + 1] || ':' || CAST(b AS BIGINT) || ':' || CAST(e AS BIGINT) AS s
           FROM (SELECT r, b, k, e FROM base UNION ALL SELECT r, b, k, e FROM added)),
 per AS (SELECT r, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,

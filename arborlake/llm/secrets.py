@@ -2,8 +2,8 @@
 
 Everything is DataFrame code. Positions come from the pieces between the matches, as Spark has no function for
 the places of all matches. A candidate's value is hashed, and distinct repositories and owners are counted for
-each hash: a value that many owners have is a copied example, one that a single owner has and that looks random
-is taken for live.
+each hash: a value that many owners have, or many repositories even of one owner, is a copied example; one that a
+single owner has in few repositories and that looks random is taken for live.
 """
 
 from __future__ import annotations
@@ -17,8 +17,10 @@ KEYED = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?
 KINDS = {"assign": (KEYED, 2, 8), "access": (r"AKIA[A-Z0-9]{12,}", 0, 16), "hex": (r"[0-9a-f]{32,}", 0, 32)}
 #: Kinds that the method adds, after the base kinds in order.
 ADDED = ("live", "copied")
-#: Owners from which on a value is a copied example; distinct characters of a live-looking value.
-COPIED_OWNERS, LIVE_SIGNS = 3, 8
+#: Owners, and repositories of whatever owners, from which on a value is a copied example.
+COPIED_OWNERS, COPIED_REPOS = 3, 20
+#: Repositories that a live value has at most, and its least number of distinct characters.
+LIVE_REPOS, LIVE_SIGNS = 5, 8
 PLACEHOLDER = r"(?i)example|sample|dummy|changeme|placeholder|your|xxxx"
 
 SPAN = "array<struct<start:long,kind:int,end:long,value:string>>"
@@ -58,8 +60,8 @@ def ownership(found: DataFrame) -> DataFrame:
     by_repo = each.groupBy("hash", "owner", "repo").agg(F.max("random").alias("random"))
     by_owner = by_repo.groupBy("hash", "owner").agg(F.count("*").alias("repos"), F.max("random").alias("random"))
     counts = by_owner.groupBy("hash").agg(F.sum("repos").alias("repos"), F.count("*").alias("owners"), F.max("random").alias("random"))
-    return counts.select("hash", "repos", "owners", ((F.col("owners") == 1) & F.col("random")).alias("live"),
-                         (F.col("owners") >= COPIED_OWNERS).alias("copied"))
+    return counts.select("hash", "repos", "owners", ((F.col("owners") == 1) & (F.col("repos") <= LIVE_REPOS) & F.col("random")).alias("live"),
+                         ((F.col("owners") >= COPIED_OWNERS) | (F.col("repos") >= COPIED_REPOS)).alias("copied"))
 
 
 def _random(value: str) -> Column:
@@ -78,7 +80,7 @@ def scan(docs: DataFrame, **columns) -> DataFrame:
 
     ``found`` has the base spans (start, kind, end, value) by start and kind, positions in code points and ends
     exclusive; ``added`` has spans of kind live or copied over the values that the corpus-wide counts decide
-    about. A null text is empty; a null repository or owner counts as one of that name; repeated rows have the
+    about. An empty table gives no rows. A null text is empty; a null repository or owner counts as one of that name; repeated rows have the
     same spans and count as one repository.
     """
     base = materialize(candidates(docs, **columns).withColumn("row", F.monotonically_increasing_id()), "candidates")

@@ -22,17 +22,19 @@ def slow_base(text):
 def slow_scan(rows):
     """rows: (doc_id, text, source)."""
     base = [slow_base(t) for _, t, _ in rows]
-    owners = {}
-    for (_, _, source), spans in zip(rows, base):
+    owners, repos = {}, {}
+    for (doc_id, _, source), spans in zip(rows, base):
         for s in spans:
             owners.setdefault(s[3], set()).add(source or "")
+            repos.setdefault(s[3], set()).add((source or "", doc_id))
     out = []
     for (doc_id, _, _), spans in zip(rows, base):
         added = set()
         for _, _, end, v in spans:
             odd = len(set(v)) >= 8 and not re.search(secrets.PLACEHOLDER, v)
-            if len(owners[v]) >= 3 or len(owners[v]) == 1 and odd:
-                added.add((end - len(v), 4 if len(owners[v]) >= 3 else 3, end))
+            copied = len(owners[v]) >= 3 or len(repos[v]) >= 20
+            if copied or len(owners[v]) == 1 and len(repos[v]) <= 5 and odd:
+                added.add((end - len(v), 4 if copied else 3, end))
         names = [*secrets.KINDS, *secrets.ADDED]
         text = lambda some: ",".join(f"{names[k]}:{b}:{e}" for b, k, e in some)
         plain = [s[:3] for s in spans]
@@ -57,6 +59,14 @@ def test_copied_and_live(spark):
     assert got[0] == "assign:0:21,copied:9:21" and got[9] == "assign:0:19,live:7:19" and got[10] == "assign:0:19"
 
 
+def test_many_repositories_of_one_owner_are_copies(spark):
+    """A hot owner's example is no live secret; between the two bounds nothing is decided."""
+    rows = [(i, "token=Zx81mmQpTr77", "hot") for i in range(40)] + [(100 + i, "token=Qw52nnVbYu09", "hot") for i in range(5)]
+    rows += [(200 + i, "token=Lk33ppXcWe41", "hot") for i in range(12)] + [(300 + i, "token=Gh64ssDfRt28", f"s{i % 2}") for i in range(22)]
+    got = {r.doc_id: r.spans for r in secrets.digest(secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, source string"))).collect()}
+    assert got[0] == got[300] == "assign:0:18,copied:6:18" and got[100] == "assign:0:18,live:6:18" and got[200] == "assign:0:18"
+
+
 def test_query_equals_oracle(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")

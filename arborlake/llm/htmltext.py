@@ -166,11 +166,50 @@ def _menu(node: Node) -> bool:
     return links >= 3 and linked >= 0.8 * total
 
 
+#: Words of names that never belong to a part around the article, however much text it has.
+REPLIES = frozenset("comment comments respond disqus replies".split())
+
+
+def _holders(root: Node) -> set[int]:
+    """Elements that lie around an article or main element, by Python id."""
+    out: set[int] = set()
+    stack = [root]
+    while stack:
+        node = stack.pop()
+        if node.tag in ("article", "main"):
+            while node is not None and id(node) not in out:
+                out.add(id(node))
+                node = node.parent
+        else:
+            stack += [c for c in node.children if isinstance(c, Node) and c.tag not in UNSEEN]
+    return out
+
+
+def _bulk(root: Node) -> set[int]:
+    """Elements with more than half of the page's letters, but for readers' comments; by Python id."""
+    order, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        order.append(node)
+        stack += [c for c in node.children if isinstance(c, Node) and c.tag not in UNSEEN]
+    letters: dict[int, int] = {}
+    for node in reversed(order):
+        letters[id(node)] = sum(len(c.strip()) if isinstance(c, str) else letters.get(id(c), 0) for c in node.children)
+    most = letters[id(root)] / 2
+    replies = lambda node: any(t.lower() in REPLIES for t in _TOKEN.findall(node.about))
+    return {id(n) for n in order if letters[id(n)] > most and not replies(n)}
+
+
 def blocks(root: Node, template: set[int] = frozenset()) -> list[str]:
-    """Texts of the blocks of the article (or articles), in page order; of the body if there is none."""
+    """Texts of the blocks of the article (or articles), in page order; of the body if there is none.
+
+    Names and forms leave out no element that holds the only articles of a page, nor, where there is no article, one that holds
+    most of its text.
+    """
     found = hashes(root)[0] if template else {}
-    dropped = lambda node, inside: (node.tag in UNSEEN or around(node, inside) or found.get(id(node)) in template
-                                    or not inside and _menu(node))
+    stays: set[int] = set()
+    dropped = lambda node, inside: (node.tag in UNSEEN or id(node) not in stays and around(node, inside)
+                                    or found.get(id(node)) in template or not inside and _menu(node))
 
     def gather(kind: tuple[str, ...]) -> list[Node]:
         out, stack = [], [root]
@@ -182,8 +221,12 @@ def blocks(root: Node, template: set[int] = frozenset()) -> list[str]:
                 stack += [c for c in reversed(node.children) if isinstance(c, Node) and not dropped(c, False)]
         return out
 
-    tops = gather(("article",)) or gather(("main",)) or [root]
-    article = tops[0] is not root
+    tops = gather(("article",)) or gather(("main",))
+    if not tops and (stays := _holders(root)):
+        tops = gather(("article",)) or gather(("main",))
+    article = bool(tops)
+    if not article:
+        tops, stays = [root], _bulk(root)
     out: list[str] = []
     line: list[str] = []
 
@@ -267,7 +310,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
     Blocks of the article in page order, joined by a line feed; white space in a block is one space. A null html is
     empty, a page without article gives the blocks of its body, broken markup gives what can be read of it. Pages
-    without host share the empty one; repeated rows get equal texts.
+    without host share the empty one; repeated rows get equal texts. An empty table gives no rows.
     """
     key = F.xxhash64(F.col(id_col), F.col(url_col), F.col(html_col))
     host = host_and_path(F.col(url_col))[0]

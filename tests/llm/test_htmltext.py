@@ -41,6 +41,18 @@ def test_parts_around_an_article():
     assert "Two words" in text(plain) and "Home" not in text(plain) and "Share" not in text(plain) and "p\nq" not in text(plain)
 
 
+def test_what_holds_the_article_stays():
+    """Layouts whose names sound like parts around an article, and forms around the whole page."""
+    article = "<article><h1>Head</h1><p>One two.</p></article>"
+    for before, after in (("<div class='layout has-sidebar'>", "</div>"), ("<form action=/>", "</form>"), ("<div id=page class=no-sidebar>", "</div>"),
+                          ("<div class='post-related-ad-free'><section class=promo>", "</section></div>"), ("<aside>", "</aside>")):
+        assert text(f"<body><nav>Home</nav>{before}<div class=sidebar>Side</div>{article}{after}<footer>End</footer></body>") == "Head\nOne two."
+    assert text("<div id='page' class='no-sidebar'><p>All the text is here.</p><div class=share>Share</div></div>") == "All the text is here."
+    # Teasers beside an article in plain sight, and readers' comments, do not come back.
+    assert text(f"<div class=related><article>Teaser</article></div>{article}") == "Head\nOne two."
+    assert text("<p>Short.</p><div class=comments><p>A very long comment of a reader.</p></div>") == "Short."
+
+
 def test_unclosed_and_stray_tags():
     assert text("<p>a<p>b</i></div>c<div>d") == "a\nbc\nd"
     assert text("no markup & none &lt;b&gt;") == "no markup & none <b>"

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from arborlake.functions import derive
 from arborlake.operators import aggregate as agg
+from arborlake.runtime import materialize
 from arborlake.schema import field
 
 #: Groups that the keys of one set may have together, by the weights below.
@@ -41,9 +42,9 @@ class Spec:
         return f"{self.kind}_{self.name}" + (f"_{self.calendar}" if self.kind == "date" else "")
 
     def key(self, df: DataFrame) -> Column:
-        value = derive.field_column(df, field(self.name).name)
         if self.kind == "terms":
             return agg.group_key(df, self.name)
+        value = derive.field_column(df, field(self.name).name)
         if self.kind == "range":
             return agg.range_key(value, sorted(self.bounds))
         return agg.date_key(value, self.calendar) if self.kind == "date" else value
@@ -74,10 +75,7 @@ def key_sets(specs: list[Spec]) -> list[list[str]]:
 
 
 def fold(df: DataFrame, specs: dict[str, Spec]) -> dict[str, DataFrame]:
-    """Results of the aggregations by label; the partial table they share is computed by the first that is used.
-
-    It is kept by Spark's cache, which recomputes what lost executors held.
-    """
+    """Results of the aggregations by label; the partial table they share is written to the shared folder by this call."""
     for s in specs.values():
         if s.kind == "stats" and s.name not in ("size", "size_on_disk"):
             raise ValueError(f"no partial sums of {s.name!r}")
@@ -95,7 +93,7 @@ def fold(df: DataFrame, specs: dict[str, Spec]) -> dict[str, DataFrame]:
         base = keyed.groupingSets([[F.col(k) for k in one] for one in sets], *[F.col(k) for k in order]).agg(
             *partials, F.grouping_id().cast("bigint").alias("set"))
         number = [sum(1 << (len(order) - 1 - i) for i, k in enumerate(order) if k not in one) for one in sets]
-    base = base.persist()
+    base = materialize(base, "fold")
     return {label: _result(s, base, sets, number) for label, s in specs.items()}
 
 

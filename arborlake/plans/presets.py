@@ -84,7 +84,7 @@ PRESETS = (*FOLDED, "top_folders", "duplicates")
 
 
 def preset(df: DataFrame, name: str, dirs: Directories | None = None) -> dict[str, DataFrame]:
-    """Results of a preset over a (filtered) catalog; lazily planned, all its parts from one scan."""
+    """Results of a preset over a (filtered) catalog; all its parts from one scan, whose partial sums are written first."""
     if name not in PRESETS:
         raise ValueError(f"unknown preset: {name!r}, one of {sorted(PRESETS)}")
     if name == "top_folders" and dirs is None:

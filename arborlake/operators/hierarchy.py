@@ -13,7 +13,7 @@ from functools import cached_property, reduce
 from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from arborlake.functions import derive
-from arborlake.operators import intervals
+from arborlake.operators import contraction, intervals
 from arborlake.runtime import materialize
 from arborlake.schema import LAST_RESERVED_FRS, ROOT_FRS, ROOT_IDS
 
@@ -583,7 +583,8 @@ def bulkiness_sums(df: DataFrame, dirs: Directories, sums: DataFrame) -> DataFra
     allocated subtree; all children when that threshold is 0.
 
     Thresholds are known from the subtree sums, so the files of all directories
-    count in one pass.  Only directories go level by level from the deepest up.
+    count in one pass.  Only directories take part in the tree contraction, whose
+    rounds grow with the log of their number and not with the depth.
     """
     limits = sums.select("drive", "frs",
                          F.call_function("div", F.col("tree_allocated"), F.lit(100)).alias("limit"))
@@ -597,24 +598,8 @@ def bulkiness_sums(df: DataFrame, dirs: Directories, sums: DataFrame) -> DataFra
     from_files = (dirs.join_parent(files, per_parent)
                   .groupBy("drive", F.col("parent_frs").alias("frs"))
                   .agg(F.sum(small("allocated_size")).alias("file_part")))
-    levels = materialize(
-        dirs.table.select("drive", "frs", "parent_frs", "depth").join(from_files, KEY, "left")
-        .withColumn("file_part", F.coalesce("file_part", F.lit(0).cast("bigint"))), "bulk")
-    deepest = levels.agg(F.max("depth").alias("d")).first()["d"] or 0
-    done = None
-    below = None
-    for depth in range(deepest, 0, -1):
-        level = levels.filter(F.col("depth") == depth)
-        if below is None:
-            rows = level.select("drive", "frs", "parent_frs", F.col("file_part").alias("bulkiness_sum"))
-        else:
-            children = (below.join(per_parent, ["drive", "parent_frs"], "left")
-                        .groupBy("drive", F.col("parent_frs").alias("frs"))
-                        .agg(F.sum(small("bulkiness_sum")).alias("dir_part")))
-            rows = level.join(children, KEY, "left").select(
-                "drive", "frs", "parent_frs",
-                (F.col("file_part") + F.coalesce("dir_part", F.lit(0).cast("bigint"))).alias("bulkiness_sum"))
-        level_done = materialize(rows, f"bulk{depth}")
-        below = level_done.filter(~_is_root(F.col("frs")))
-        done = level_done if done is None else done.unionByName(level_done)
-    return done.select("drive", "frs", "bulkiness_sum")
+    nodes = (dirs.table.filter("depth >= 1").join(from_files, KEY, "left").join(limits, KEY, "left")
+             .select("drive", "frs", F.when(~_is_root(F.col("frs")), F.col("parent_frs")).alias("up"),
+                     F.coalesce("file_part", F.lit(0).cast("bigint")).alias("part"),
+                     F.when(F.col("limit") != 0, F.col("limit")).alias("cut")))
+    return contraction.sums_below_cuts(nodes)[0].withColumnRenamed("total", "bulkiness_sum")

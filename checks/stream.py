@@ -72,8 +72,8 @@ def change_files(spark, sf, parts=4):
 
 @query("j03_net_changes_stateful", "SELECT * FROM net")
 def _(spark, sf):
-    """The same aggregate over micro-batches in update mode, last update per key."""
-    stream = ch.net_changes(ch.read_changes(spark, change_files(spark, sf), max_files=FILES_PER_PART))
+    """Daily parts over micro-batches in update mode, whose state expires a day later; the parts are added up."""
+    stream = ch.change_parts(ch.read_changes(spark, change_files(spark, sf), max_files=FILES_PER_PART), "1 day", "1 day")
     out, points = out_path(spark, "net-updates"), out_path(spark, "points")
 
     def keep(rows, batch):
@@ -81,10 +81,7 @@ def _(spark, sf):
 
     (stream.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", points)
      .trigger(availableNow=True).start().awaitTermination())
-    updates = spark.read.parquet(out)
-    fields = [c for c in updates.columns if c not in ("drive", "frs", "batch")]
-    last = F.max_by(F.struct(*fields), "batch").alias("row")
-    return updates.groupBy("drive", "frs").agg(last).select("drive", "frs", "row.*")
+    return ch.merge_parts(ch.latest_parts(spark.read.parquet(out)))
 
 
 @query("j04_apply_changes", f"WITH {_BASE} SELECT drive, frs, parent_frs, name, size, ext FROM applied")

@@ -189,3 +189,33 @@ def test_streaming_rates_with_watermark(spark):
     assert [r["changes"] for r in spark.table("rates").collect()] == [60, 60]
     with pytest.raises(ValueError):
         ch.change_rates(stream, "daily")
+    with pytest.raises(ValueError):
+        ch.change_rates(stream)
+
+
+@pytest.mark.parametrize("mode", ["append", "update"])
+def test_parts_of_a_stream_expire_and_add_up(spark, mode):
+    """Ten hours of changes, an hour a file; the last file closes the windows and brings rows that are too late."""
+    rows = [(d, i, f, p, r, n, f"2024-01-01 {i // 60:02d}:{i % 60:02d}:00") for d, i, f, p, r, n in journal(7, n=600)]
+    late = [("C", 600 + i, 100 + i, 5, DELETE, "", "2024-01-01 00:30:00") for i in range(5)]
+    last = [("C", 700, 999, 5, CREATE, "end", "2024-01-03 00:00:00")]
+    path, out = scratch_path(spark, "journal"), scratch_path(spark, "parts")
+    schema = SCHEMA + ", ts string"
+    for at in range(0, 600, 60):
+        part = rows[at:at + 60] + (late if at == 540 else [])
+        spark.createDataFrame(part, schema).withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.mode("append").parquet(path)
+    spark.createDataFrame(last, schema).withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.mode("append").parquet(path)
+    source = ch.read_changes(spark, path, max_files=1)
+    query = (ch.change_parts(source, "1 hour", "30 minutes").writeStream.outputMode(mode)
+             .foreachBatch(lambda df, n: df.withColumn("batch", F.lit(n)).write.mode("append").parquet(out))
+             .option("checkpointLocation", scratch_path(spark, "points")).trigger(availableNow=True).start())
+    query.awaitTermination()
+    states = [p.stateOperators[0] for p in query.recentProgress if p.stateOperators]
+    assert sum(s.numRowsDroppedByWatermark for s in states) == len({r[2] for r in late})
+    assert max(s.numRowsTotal for s in states) <= 3 * 40 and states[-1].numRowsTotal == 1
+    expected = rows + (last if mode == "update" else [])
+    want = ch.net_changes(spark.createDataFrame(expected, schema).withColumn("ts", F.to_timestamp("ts")))
+    got = ch.merge_parts(ch.latest_parts(spark.read.parquet(out)))
+    assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
+    with pytest.raises(ValueError):
+        ch.net_changes(source)

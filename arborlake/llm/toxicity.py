@@ -1,7 +1,7 @@
 """Toxicity: a noisy-channel decoder restores disguised words, a linear model scores the restored text.
 
 Character four-grams of all texts give a language model. A token with digits or signs among its letters, with
-stretched or with spaced-out letters is a lattice of what each character may stand for; Viterbi search finds the
+stretched or with spaced-out letters is a lattice of what each character and separator may stand for; Viterbi search finds the
 reading with the least sum of channel cost and language-model cost. Features of the restored words are chosen and
 weighted on a bounded sample of labelled rows.
 """
@@ -26,6 +26,12 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb",
         "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i"}
 #: Costs of the channel, in nats: a sign read as a letter, as itself, or left out; a stretch read as one or two letters.
 AS_LETTER, AS_ITSELF, LEFT_OUT, ONE, TWO = 1.0, 6.0, 4.0, 0.5, 1.5
+#: Marks of a separator in a lattice (no token has them, they are white space): between single letters, between other
+#: pieces of a token, between other tokens; with the costs of leaving it out and of a word break.
+LETTERS, PIECES, TOKENS = "\x1e", "\x1d", "\x1f"
+SPACING = {LETTERS: (0.0, 2.0), PIECES: (0.5, 0.5), TOKENS: (4.0, 0.0)}
+#: Characters of a piece or token that may be part of a spaced-out word.
+SHORT = 3
 
 #: Nats by which a feature has to differ from chance to be proof by itself.
 CERTAIN = 16.0
@@ -93,15 +99,18 @@ _TABLE = symbol_table().tolist()
 
 
 def decode(token: str, costs) -> str:
-    """The likeliest reading of a disguised lower-case token; white space in it parts words."""
-    paths = {(0, 0, 0): (0.0, "")}
+    """The likeliest reading of a disguised lower-case token; the marks of ``SPACING`` are left out or become a space."""
+    paths = {(0, 0, 0): (0.0, None)}
     at = 0
     while at < len(token):
         c, run = token[at], 1
         while at + run < len(token) and token[at + run] == c:
             run += 1
         at += run
-        if c.isalpha():
+        if c in SPACING:
+            out, word = SPACING[c]
+            options = [("", out), (" ", word)]
+        elif c.isalpha():
             options = [(c * run, 0.0)] if run < 3 else [(c, ONE), (c * 2, TWO)]
         elif c in LEET:
             each = [(x, AS_LETTER) for x in LEET[c]]
@@ -109,7 +118,7 @@ def decode(token: str, costs) -> str:
             options += [(c * run, AS_ITSELF), ("", LEFT_OUT)]
         else:
             options = [(c * run, AS_ITSELF), ("", LEFT_OUT)]
-        after: dict[tuple, tuple[float, str]] = {}
+        after: dict[tuple, tuple] = {}
         for state, (cost, read) in paths.items():
             for text, channel in options:
                 s, total = state, cost + channel
@@ -117,43 +126,75 @@ def decode(token: str, costs) -> str:
                     total += float(costs[((s[0] * SYMBOLS + s[1]) * SYMBOLS + s[2]) * SYMBOLS + x])
                     s = (s[1], s[2], x)
                 if s not in after or total < after[s][0]:
-                    after[s] = (total, read + text)
+                    after[s] = (total, (read, text))
         paths = after
-    ends = [(cost + float(costs[((s[0] * SYMBOLS + s[1]) * SYMBOLS + s[2]) * SYMBOLS]), read) for s, (cost, read) in paths.items()]
-    return min(ends)[1]
+    _, read = min(((cost + float(costs[((s[0] * SYMBOLS + s[1]) * SYMBOLS + s[2]) * SYMBOLS]), read)
+                   for s, (cost, read) in paths.items()), key=lambda end: end[0])
+    texts = []
+    while read:
+        read, text = read
+        texts.append(text)
+    return "".join(reversed(texts))
+
+
+def _words(text: str) -> list[str]:
+    return [w for w in re.split(r"[\W_]+", text) if w]
+
+
+def _laced(pieces: list[str], other: str) -> str:
+    """Pieces with the marks of the separators between them."""
+    out = pieces[:1]
+    for last, piece in zip(pieces, pieces[1:]):
+        out += [LETTERS if len(last) == len(piece) == 1 else other, piece]
+    return "".join(out)
 
 
 def restore(token: str, costs) -> list[str]:
-    """Words that a lower-case token without white space stands for."""
+    """Words that a lower-case token without white space, or a run of tokens by ``spaced``, stands for.
+
+    Short pieces of a token are read as they are and also by the lattice of what their separators may be.
+    """
     if token.isalpha() and not _STRETCH.search(token):
         return [token]
+    if LETTERS in token or TOKENS in token:
+        return _words(decode(token, costs))
     token = _EDGE.sub("", _JUNK_EDGE.sub("", token)) or token
     parts = [p for p in _SEPARATORS.split(token) if p]
-    if len(parts) >= 3 and all(len(p) == 1 for p in parts):
-        parts = ["".join(parts)]
     words = []
+    if len(parts) > 1 and max(map(len, parts)) <= SHORT and sum(map(len, parts)) > SHORT and not "".join(parts).isdigit():
+        words = _words(decode(_laced(parts, PIECES), costs))
+        if all(len(p) == 1 for p in parts):
+            return words
     for part in parts:
         if part.isalpha() and not _STRETCH.search(part):
             words.append(part)
         elif any(c.isalpha() for c in part):
-            words += [w for w in re.split(r"[\W_]+", decode(part, costs)) if w]
+            words += _words(decode(part, costs))
         elif not part.isdigit():
             words.append(part)
     return words
 
 
 def spaced(tokens: list[str]) -> list[str]:
-    """Joined runs of three and more tokens of one character."""
-    out, run, last = [], [], -2
+    """Runs of tokens that may be spaced-out words, with marks between them.
+
+    A run has three tokens of one character or more; single short tokens may stand between them or at its ends.
+    """
+    out, run = [], []
+
+    def close():
+        if len(run) > 2:
+            first, last = run[0], run[-1] + 1
+            first -= first > 0 and len(tokens[first - 1]) <= SHORT
+            last += last < len(tokens) and len(tokens[last]) <= SHORT
+            out.append(_laced(tokens[first:last], TOKENS))
+
     for i in [i for i, t in enumerate(tokens) if len(t) == 1]:
-        if i != last + 1:
-            if len(run) > 2:
-                out.append("".join(run))
+        if run and (i > run[-1] + 2 or i == run[-1] + 2 and len(tokens[i - 1]) > SHORT):
+            close()
             run = []
-        run.append(tokens[i])
-        last = i
-    if len(run) > 2:
-        out.append("".join(run))
+        run.append(i)
+    close()
     return out
 
 

@@ -37,8 +37,31 @@ def test_decoding(model):
         assert read(disguised) == ["idiot"], disguised
     assert read("st00000pid") and read("$tupid") == ["stupid"] and read("p4th3tic") == ["pathetic"]
     assert read("that's") == ["that", "s"] and read("12345") == [] and read("%%%") in ([], ["%%%"]) and read("éèouç") == ["éèouç"]
-    assert toxicity.spaced("so i d i o t x y z a".split()) == ["idiotxyza"]
-    assert toxicity.spaced("you i d i o t then a b".split()) == ["idiot"]
+
+
+def test_spacing_is_part_of_the_lattice(model):
+    read = lambda t: {w for x in toxicity.spaced(t.split()) for w in toxicity.restore(x, model.costs)}
+    for text in ("you are a i d i o t", "i d i o t then the", "so i d i ot of", "and i d io t", "you 1 d 1 0 t then a b"):
+        assert "idiot" in read(text), (text, read(text))
+    assert {"idiot", "moron"} <= read("the i d i o t m o r o n of")
+    for token in ("id-iot", "i-d-i-ot", "i.d.io.t", "1d_i0t"):
+        assert "idiot" in toxicity.restore(token, model.costs), token
+    assert toxicity.spaced("it is a good day in b or c".split()) == [] and toxicity.spaced([]) == []
+    assert len("".join(read("a b " * 20_000))) > 0
+
+
+def test_spacing_equals_brute_force(model):
+    import itertools
+
+    pieces = ["a", "i", "d", "i", "ot"]
+    token = toxicity._laced(pieces, toxicity.TOKENS)
+    cost = lambda s: sum(float(model.costs[((a * 32 + b) * 32 + c) * 32 + d]) for a, b, c, d in zip(s, s[1:], s[2:], s[3:]))
+    every = []
+    for cuts in itertools.product((0, 1), repeat=4):
+        text = pieces[0] + "".join(" " * cut + p for cut, p in zip(cuts, pieces[1:]))
+        marks = [toxicity.LETTERS] * 3 + [toxicity.TOKENS]
+        every.append((sum(toxicity.SPACING[m][cut] for m, cut in zip(marks, cuts)) + cost([0, 0, 0, *toxicity._symbols(text), 0]), text))
+    assert toxicity.decode(token, model.costs) == min(every)[1]
 
 
 def test_viterbi_equals_brute_force(model):

@@ -30,24 +30,21 @@ def from_listing(listing: DataFrame) -> DataFrame:
     return listing.select(*columns)
 
 
-def _by_path(df: DataFrame, fields: list[str], side: str) -> DataFrame:
-    """One row per normalised path; of equal paths the greatest row stays."""
-    present = [f for f in fields if f in df.columns]
-    values = F.max(F.struct(*[F.col(f) for f in present]) if present else F.lit(True))
-    grouped = df.groupBy(normalize_path("path").alias("path_norm")).agg(values.alias(side))
-    absent = [f for f in fields if f not in present]
-    if absent or not present:
-        return grouped.select("path_norm", F.struct(*[
-            (F.col(side)[f] if f in present else F.lit(None).cast("bigint")).alias(f)
-            for f in fields]).alias(side))
-    return grouped
+def _sided(df: DataFrame, fields: list[str], side: str) -> DataFrame:
+    """Normalised paths with the fields as a struct in the column of their side."""
+    values = F.struct(*[(F.col(f) if f in df.columns else F.lit(None).cast("bigint")).alias(f) for f in fields] or [F.lit(True)])
+    return df.select(normalize_path("path").alias("path_norm"), values.alias(side))
 
 
 def matched(left: DataFrame, right: DataFrame, fields=None) -> DataFrame:
-    """Full outer join of two listings on the normalised path: (path_norm, l, r)."""
+    """Full outer join of two listings on the normalised path: (path_norm, l, r); of equal paths of a side the greatest row stays."""
     fields = list(fields or [f for f in (*NUMERIC_FIELDS, *FLAG_FIELDS)
                              if f in left.columns or f in right.columns])
-    return _by_path(left, fields, "l").join(_by_path(right, fields, "r"), "path_norm", "full_outer")
+    both = _sided(left, fields, "l").unionByName(_sided(right, fields, "r"), allowMissingColumns=True)
+    # Paths of both sides meet in one exchange and are sorted after it only. Rows without a path match nothing.
+    unmatched = F.when(F.col("path_norm").isNull(), F.col("l").isNotNull()).alias("_side")
+    return (both.repartition("path_norm").groupBy("path_norm", unmatched).agg(F.max("l").alias("l"), F.max("r").alias("r"))
+            .drop("_side"))
 
 
 def summary(pairs: DataFrame) -> DataFrame:

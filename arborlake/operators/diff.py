@@ -118,12 +118,13 @@ def paths(df: DataFrame) -> DataFrame:
 
 
 def common_paths(left: DataFrame, right: DataFrame) -> DataFrame:
-    return paths(left).intersect(paths(right))
+    return matched_sides(left, right).filter("in_left and in_right").select("path_norm")
 
 
 def only_in(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Paths of ``left`` without a row in ``right``."""
-    return paths(left).join(paths(right), "path_norm", "left_anti")
+    """Paths of ``left`` without a row in ``right``; rows without a path match nothing."""
+    alone = F.col("in_left") & (~F.col("in_right") | F.col("path_norm").isNull())
+    return matched_sides(left, right).filter(alone).select("path_norm")
 
 
 def _parent(path: Column) -> Column:
@@ -170,7 +171,8 @@ def matched_sides(left: DataFrame, right: DataFrame) -> DataFrame:
     tagged = [df.select(normalize_path("path").alias("path_norm"), F.lit(side).alias("in_left"),
                         F.lit(not side).alias("in_right"))
               for df, side in ((left, True), (right, False))]
-    return tagged[0].unionByName(tagged[1]).groupBy("path_norm").agg(
+    # Grouped after the exchange only: few paths of a listing repeat.
+    return tagged[0].unionByName(tagged[1]).repartition("path_norm").groupBy("path_norm").agg(
         F.bool_or("in_left").alias("in_left"), F.bool_or("in_right").alias("in_right"))
 
 

@@ -177,7 +177,7 @@ def _(spark, sf):
 def listings(spark, sf):
     """All files, and a copy with rows left out, changed and added."""
     c = cat(spark, sf)
-    left = c.with_paths(c.tree_rows.filter(~F.col("is_directory"))).select(
+    left = c.with_paths(c.rows.filter(~F.col("is_directory"))).select(
         "frs", "path", "size", "allocated_size", "is_directory",
         ((F.col("flags").bitwiseAND(F.lit(2))) != 0).alias("is_hidden"))
     kept = left.filter(F.col("frs") % 7 != 0).withColumns({

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import functools
 import math
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -115,39 +116,59 @@ def _prints(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFram
         run, "id long, key1 long, key2 long, set1 long, set2 long, n long, mins array<int>, s0 long, s1 long, s2 long, s3 long")
 
 
-def _candidates(sets: DataFrame, share: tuple[int, int], recall: float) -> DataFrame:
-    """Forests of candidate pairs (a, b) of the sets (node, n, mins, sketch)."""
+def _unused(used, branch: int):
+    """A function that only the path and the branch decide, and that no step of the path was taken by."""
+    drawn = [F.pmod(F.xxhash64("path", F.lit(branch), F.lit(i)), FUNCTIONS).cast("int") for i in range(8)]
+    return F.get(F.array_except(F.array(*drawn), used), F.lit(0))
+
+
+def tree_candidates(sets: DataFrame, share: tuple[int, int], recall: float, columns: list[str], near: Callable) -> DataFrame:
+    """Forests of candidate pairs (a, b) of the sets (node, mins and ``columns``), compared by ``near`` where a branch ends.
+
+    Only ids travel down the trees; a set's ``columns`` are fetched for the nodes it ends in, and for most sets
+    of a corpus that is none, as no other set shares a value with them.
+    """
     spark = sets.sparkSession
-    sketch_cols = ["n", "s0", "s1", "s2", "s3"]
     trees = trees_needed(share[0] / share[1], recall)
-    roots = F.array(*[F.xxhash64(F.lit(c), F.get("mins", F.lit(c % FUNCTIONS))) for c in range(trees * BRANCHES)])
-    level = sets.select(F.explode(roots).alias("path"), F.lit(None).cast("long").alias("above"), "node", *sketch_cols)
+    roots = [F.struct(F.xxhash64(F.lit(c), F.get("mins", F.lit(c % FUNCTIONS))).alias("path"), F.array(F.lit(c % FUNCTIONS)).alias("used"))
+             for c in range(trees * BRANCHES)]
+    level = sets.select(F.explode(F.array(*roots)).alias("at"), F.lit(None).cast("long").alias("above"), "node")
     done = []
     while True:
-        level = materialize(level, "level")
+        level = level.select("at.path", "at.used", "above", "node")
         sizes = level.groupBy("path").agg(F.count("*").alias("size")).filter("size > 1")
         level = materialize(level.join(sizes, "path"), "sized")
         alike = F.coalesce(F.col("size") >= F.col("above") * ALIKE, F.lit(False))
-        done.append(level.filter((F.col("size") <= SMALL) | alike))
+        done.append(level.filter((F.col("size") <= SMALL) | alike).select("path", "size", "node"))
         large = level.filter((F.col("size") > SMALL) & ~alike)
         if not large.limit(1).count():
             break
-        # Each branch of a node has a function that only its path decides.
-        choice = lambda b: F.pmod(F.xxhash64("path", F.lit(b)), FUNCTIONS).cast("int")
-        child = F.array(*[F.xxhash64("path", F.lit(b), F.get("mins", choice(b))) for b in range(BRANCHES)])
+        used, children = F.col("used"), []
+        for b in range(BRANCHES):
+            choice = _unused(used, b)
+            used = F.array_append(used, choice)
+            path = F.xxhash64("path", F.lit(b), F.get("mins", choice))
+            children.append(F.struct(path.alias("path"), F.array_append(F.col("used"), choice).alias("used")))
         level = (large.join(sets.select("node", "mins"), "node")
-                 .select(F.explode(child).alias("path"), F.col("size").alias("above"), "node", *sketch_cols))
+                 .select(F.explode(F.array(*children)).alias("at"), F.col("size").alias("above"), "node"))
+        level = materialize(level, "level")
     rows = done[0]
     for more in done[1:]:
         rows = rows.union(more)
+    kept = ["node", *columns]
+    rows = rows.join(sets.select(*kept), "node")
     rows = rows.withColumn("tiles", F.ceil(F.col("size") / TILE).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), "tiles").cast("int"))
-    kept = ["node", *sketch_cols]
-    homes = rows.select("path", F.col("own").alias("tile"), F.lit(0).alias("visitor"), *kept)
-    before = (rows.filter("own > 0").withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("own") - 1)))
-              .select("path", "tile", F.lit(1).alias("visitor"), *kept))
+    # One row for the tile that holds the set, and one for each tile before it that it visits.
+    tile = F.explode(F.sequence(F.lit(0), F.col("own")))
+    placed = rows.withColumn("tile", tile).select("path", "tile", (F.col("tile") < F.col("own")).cast("int").alias("visitor"), *kept)
     n = 4 * shuffle_partitions(spark)
-    return (homes.union(before).repartition(n, "path", "tile").sortWithinPartitions("path", "tile", "visitor", "node")
-            .mapInArrow(tile_forests(functools.partial(near_sketches, share=share), "path", sketch_cols), "a long, b long"))
+    return (placed.repartition(n, "path", "tile").sortWithinPartitions("path", "tile", "visitor", "node")
+            .mapInArrow(tile_forests(near, "path", columns), "a long, b long"))
+
+
+def _candidates(sets: DataFrame, share: tuple[int, int], recall: float) -> DataFrame:
+    """Forests of candidate pairs (a, b) of the sets (node, n, mins, sketch)."""
+    return tree_candidates(sets, share, recall, ["n", "s0", "s1", "s2", "s3"], functools.partial(near_sketches, share=share))
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, share: tuple[int, int] = (85, 100), recall: float = 1 - 1e-6,

@@ -7,6 +7,7 @@ import itertools
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from arborlake.llm.chosenpath import minwise, tree_candidates
 from arborlake.llm.common import LOWER, byte_rows, shuffle_partitions
 from arborlake.llm.components import components
 from arborlake.llm.shinglesets import confirmed, set_key, shingles, text_keys, text_rows, tile_forests
@@ -218,8 +219,12 @@ def near_duplicates(docs: DataFrame, radius: int = 3, words: int = 3, seed: int
                     "component_id"))
 
 
-#: Bits of a wide fingerprint, of which the first 64 are compared in tiles.
+#: Bits of a wide fingerprint, of which the first 64 are compared first.
 WIDE = 256
+#: Sets up to which all wide fingerprints meet; of more, those that a tree of minwise values brings together.
+ALL_PAIRS = 1 << 14
+#: Share of the links at the threshold whose ends meet in the trees; tiles of all pairs lose none.
+RECALL = 1 - 1e-6
 
 
 def wide_fingerprint(hashes):
@@ -255,7 +260,7 @@ def near_wide(n, *s, radius: int, share: tuple[int, int]):
 
 
 def _wide_prints(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """Rows (id, text keys, set keys, size, wide fingerprint) of all rows."""
+    """Rows (id, text keys, set keys, size, wide fingerprint, minwise values) of all rows."""
     def run(batches):
         import numpy as np
         import pyarrow as pa
@@ -264,23 +269,34 @@ def _wide_prints(docs: DataFrame, words: int, id_col: str, text_col: str) -> Dat
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
                 sets = (shingles(text, words) for (text,) in byte_rows([part], "text"))
-                rows = [(*set_key(found), len(found), *wide_fingerprint(found).tolist()) for found in sets]
+                rows, mins = [], []
+                for found in sets:
+                    rows.append((*set_key(found), len(found), *wide_fingerprint(found).tolist()))
+                    mins.append(minwise(found))
+                ends = np.cumsum([0, *map(len, mins)], dtype=np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), part.column("key1"), part.column("key2"), *(pa.array(c, pa.int64()) for c in zip(*rows))],
-                    names=["id", "key1", "key2", "set1", "set2", "n", "fingerprint", "s1", "s2", "s3"])
+                    [part.column("id"), part.column("key1"), part.column("key2"), *(pa.array(c, pa.int64()) for c in zip(*rows)),
+                     pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(mins)))],
+                    names=["id", "key1", "key2", "set1", "set2", "n", "fingerprint", "s1", "s2", "s3", "mins"])
 
     return text_rows(docs, id_col, text_col).mapInArrow(
-        run, "id long, key1 long, key2 long, set1 long, set2 long, n long, fingerprint long, s1 long, s2 long, s3 long")
+        run, "id long, key1 long, key2 long, set1 long, set2 long, n long, fingerprint long, s1 long, s2 long, s3 long, mins array<int>")
 
 
 def _wide_candidates(sets: DataFrame, radius: int, share: tuple[int, int], count: int) -> DataFrame:
-    """Forests of candidate pairs (a, b) of rows (node, n, fingerprint, s1, s2, s3)."""
+    """Forests of candidate pairs (a, b) of ``count`` rows (node, n, fingerprint, s1, s2, s3, mins).
+
+    Fingerprints at this radius leave hardly any tile out, so all pairs meet in tiles up to ALL_PAIRS rows only. Of more rows those
+    are compared that agree in minwise values along a branch of a tree, which grows with the rows and not their pairs.
+    """
+    test, columns = functools.partial(near_wide, radius=radius, share=share), ["n", "fingerprint", "s1", "s2", "s3"]
+    if count > ALL_PAIRS:
+        return tree_candidates(sets, share, RECALL, columns, test)
     # Tiles grow with the root of the rows, so that visitors' copies don't outgrow the comparisons.
     tiles = _tiles(sets, radius, 1, ("n", "s1", "s2", "s3"), max(TILE_ROWS, int(8 * count ** 0.5)))
     n = 4 * shuffle_partitions(sets.sparkSession)
-    test = functools.partial(near_wide, radius=radius, share=share)
     return (tiles.repartition(n, "home", "tile").sortWithinPartitions("home", "tile", "visitor", "node")
-            .mapInArrow(tile_forests(test, "home", ["n", "fingerprint", "s1", "s2", "s3"]), "a long, b long"))
+            .mapInArrow(tile_forests(test, "home", columns), "a long, b long"))
 
 
 def deduplicated(docs: DataFrame, words: int = 5, share: tuple[int, int] = (4, 5), radius: int = 22, id_col: str = "doc_id",
@@ -294,13 +310,15 @@ def deduplicated(docs: DataFrame, words: int = 5, share: tuple[int, int] = (4, 5
 
     Candidates are fingerprints within ``radius`` of 64 bits (and in proportion of 256); links are confirmed on the
     whole sets. At four fifths 9.7 bits differ on average with a deviation of 2.9, so 22 leave out less than one link in a thousand.
+    Of more than ALL_PAIRS different texts, fingerprints are compared where trees of minwise values bring them together; a link at
+    four fifths isn't brought together with a chance of 10^-6.
     """
     rows = materialize(_wide_prints(docs, words, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "prints")
     order = F.struct(F.col("id").isNull().alias("none"), "id", "key1", "key2")
     # Copies are combined before the exchange, so no step sees all rows of a large group.
     distinct = materialize(rows.groupBy("set1", "set2").agg(F.min("row").alias("node"), F.min(order).alias("least")), "distinct")
     sets = materialize(rows.join(distinct.select(F.col("node").alias("row")), "row", "left_semi").withColumnRenamed("row", "node")
-                       .select("node", "key1", "key2", "n", "fingerprint", "s1", "s2", "s3"), "sets")
+                       .select("node", "key1", "key2", "n", "fingerprint", "s1", "s2", "s3", "mins"), "sets")
     some = sets.filter("n > 0")
     candidates = _wide_candidates(some, radius, share, distinct.count())
     texts = text_rows(docs, id_col, text_col).select("key1", "key2", "text")
